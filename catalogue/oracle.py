@@ -521,7 +521,7 @@ ORACLE = {
     "curve_areas_continuous": _sql("tx", _AREA, _areas("SELECT CAST(amount AS DOUBLE) AS score, is_fraud AS actual FROM tx")),
     "score_curve": _sql(
         "scored",
-        "SELECT score, pos, neg, CAST(pos_below AS BIGINT) AS pos_below, CAST(neg_below AS BIGINT) AS neg_below FROM c",
+        "SELECT score, pos, neg, CAST(tp - pos AS BIGINT) AS pos_above, CAST(fp - neg AS BIGINT) AS neg_above FROM c",
         _areas("SELECT rule_score AS score, is_fraud AS actual FROM scored"),
     ),
     "psi_value": _sql("tx", "SELECT n_reference, n_current, round(psi, 9) AS psi FROM found", _drift(_HALVES)),

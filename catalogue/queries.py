@@ -122,7 +122,7 @@ def blacklisted_merchants(spark, folder):
 
 
 def _base(spark, folder):
-    return source.from_events(source.read_table(spark, folder, "events"))
+    return source.from_events(source.scan(spark, folder, "events"))
 
 
 @query
@@ -209,7 +209,7 @@ def feature_vectors(spark, folder):
 
 @query
 def threshold_tiers(spark, folder):
-    orders = io.read_table(spark, folder, "orders")
+    orders = source.scan(spark, folder, "orders")
     price = F.col("o_totalprice")
     return orders.select(
         "o_orderkey",
@@ -222,7 +222,7 @@ def threshold_tiers(spark, folder):
 @query
 def ensemble_grid(spark, folder):
     """Weighted sums of several weight sets over order prices and account balances as layer scores."""
-    orders = io.read_table(spark, folder, "orders")
+    orders = source.scan(spark, folder, "orders")
     rule = F.floor(F.col("o_totalprice")) % 101
     ml = F.col("o_orderkey") % 101
     place = F.col("o_custkey") % 101
@@ -284,7 +284,7 @@ def status_and_band(spark, folder):
 
 @query
 def table_scan(spark, folder):
-    customers = io.read_table(spark, folder, "customer")
+    customers = source.scan(spark, folder, "customer")
     return customers.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_users"))
 
 
@@ -528,7 +528,7 @@ def audit_export_json(spark, folder):
 
 
 def _label_pairs(spark, folder):
-    labels = io.read_table(spark, folder, "labels")
+    labels = source.scan(spark, folder, "labels")
     return labels.select(F.col("quality").alias("predicted"), (1 - F.col("toxic")).alias("actual"))
 
 
@@ -684,7 +684,7 @@ def _lines(spark, folder):
     whole = F.format_string('{"transaction_id": "%d", "retry_count": %d}', key, key % 4)
     bare = F.format_string('{"score_breakdown": {"rule_score": %d.5}}', key % 100)
     text = F.when(key % 10 == 3, F.format_string('{"transaction_id": "%d", "retry', key)).when(key % 10 == 4, bare).otherwise(whole)
-    return io.read_table(spark, folder, "events").select("event_id", text.alias("value"))
+    return source.scan(spark, folder, "events").select("event_id", text.alias("value"))
 
 
 @query
@@ -768,7 +768,7 @@ def forest_evaluation(spark, folder):
 @query
 def synthetic_transactions(spark, folder):
     """One synthetic labelled row per event number."""
-    return synthetic.synthesize_for(io.read_table(spark, folder, "events"), "event_id")
+    return synthetic.synthesize_for(source.scan(spark, folder, "events"), "event_id")
 
 
 @query
@@ -811,7 +811,7 @@ def appended_tables(spark, folder):
 
 
 def _event_stream(spark, folder):
-    schema = io.read_table(spark, folder, "events").schema
+    schema = source.scan(spark, folder, "events").schema
     return jobs.read_stream(spark, folder, schema, "events.parquet")
 
 

@@ -37,7 +37,7 @@ def stored_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context(spark: SparkSession, folder: str, with_history: bool = False) -> ScoringContext:
-    rows = source.from_events(source.read_table(spark, folder, "events"))
+    rows = source.from_events(source.scan(spark, folder, "events"))
     return ScoringContext(
         blacklist=source.blacklist(spark, folder),
         known_cards=source.cards_before(rows),
@@ -47,19 +47,27 @@ def context(spark: SparkSession, folder: str, with_history: bool = False) -> Sco
 
 
 def enriched(spark: SparkSession, folder: str) -> DataFrame:
-    return attach_context(transactions(spark, folder), context(spark, folder), WINDOWS)
+    events = source.scan(spark, folder, "events")
+    return attach_context(transactions(spark, folder), context(spark, folder), WINDOWS, counted=events)
 
 
 def scored(spark: SparkSession, folder: str, weights=RULE_ONLY, recent: str = BURST, **options) -> DataFrame:
     rows = transactions(spark, folder)
     return score_transactions(
-        rows, context(spark, folder), weights=weights, recent=recent, windows=WINDOWS, **options
+        rows,
+        context(spark, folder),
+        weights=weights,
+        recent=recent,
+        windows=WINDOWS,
+        counted=source.scan(spark, folder, "events"),
+        **options,
     )
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """``transaction_id, ts, is_fraud`` and the ten features, history from legitimate rows."""
-    rows = attach_context(transactions(spark, folder), context(spark, folder, with_history=True))
+    events = source.scan(spark, folder, "events")
+    rows = attach_context(transactions(spark, folder), context(spark, folder, with_history=True), counted=events)
     named = [column.alias(f"f_{name}") for name, column in features_of().items()]
     return rows.select("transaction_id", "ts", "is_fraud", *named)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.history import hot_velocity, trailing_counts
-from riskloom.operators.skew import BROADCAST_KEYS, HOT_LIMIT, broadcast_if, split_hot
+from riskloom.operators.skew import HOT_LIMIT, Split, broadcast_if, split_hot
 from riskloom.schemas import WINDOW_1H, WINDOW_5MIN
 
 VELOCITY_WINDOWS = {"tx_count_last_5min": WINDOW_5MIN, "tx_count_last_1h": WINDOW_1H}
@@ -29,16 +29,21 @@ class ScoringContext:
     home_country: DataFrame | None = None
     history: DataFrame | None = None
 
-    def restricted(self, users: DataFrame) -> ScoringContext:
-        """The per-user tables cut down to ``users``, broadcast if the result was counted as small."""
+    def restricted(self, split: Split) -> ScoringContext:
+        """The per-user tables cut down to the hot users.
+
+        Home country and history have a row per user, so they are as few as the users, which were
+        counted; the cards are left to the runtime statistics.
+        """
+        users = broadcast_if(split.keys, split.few)
 
         def cut(table: DataFrame | None) -> DataFrame | None:
-            if table is None:
-                return None
-            part = table.join(broadcast_if(users, users.count() <= BROADCAST_KEYS), "user_id", "left_semi")
-            return broadcast_if(part, part.count() <= BROADCAST_KEYS)
+            return None if table is None else table.join(users, "user_id", "left_semi")
+
+        def small(table: DataFrame | None) -> DataFrame | None:
+            return None if table is None else broadcast_if(cut(table), split.few)
 
-        return ScoringContext(self.blacklist, cut(self.known_cards), cut(self.home_country), cut(self.history))
+        return ScoringContext(self.blacklist, cut(self.known_cards), small(self.home_country), small(self.history))
 
 
 def mark_blacklisted(df: DataFrame, blacklist: DataFrame | None) -> DataFrame:
@@ -73,18 +78,19 @@ def attach_context(
     context: ScoringContext,
     windows: Mapping[str, int] | None = None,
     hot_limit: int = HOT_LIMIT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """All context columns.
 
     Rows are shuffled once by user: the velocity windows and the joins on the user share that
     partitioning.  Users above ``hot_limit`` rows go another way: prefix-sum velocity and joins
-    against the context of these few users.
+    against the context of these few users.  ``counted`` is as in ``split_hot``.
     """
     windows = windows or VELOCITY_WINDOWS
     df = mark_blacklisted(df, context.blacklist)
-    split = split_hot(df, ["user_id"], hot_limit)
+    split = split_hot(df, ["user_id"], hot_limit, counted)
     cold = join_user_context(split.cold.withColumns(trailing_counts(windows)), context)
     if split.hot is None:
         return cold
-    hot = join_user_context(hot_velocity(split.hot, windows, "user_id", "ts"), context.restricted(split.keys))
+    hot = join_user_context(hot_velocity(split, windows), context.restricted(split))
     return cold.unionByName(hot)

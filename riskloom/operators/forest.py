@@ -129,6 +129,9 @@ def draw_samples(df: DataFrame, row_id: str, n: int, n_trees: int, psi: int, see
         trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(seed, t) < cut)
         candidates = df.withColumn("tree", F.explode(trees))
     candidates = candidates.withColumn("__draw", draw(seed, F.col("tree"), 7))
+    # About 1.5 * psi rows per tree; trees are spread over tasks by number, not merged by size.
+    tasks = min(n_trees, df.sparkSession.sparkContext.defaultParallelism)
+    candidates = candidates.repartition(tasks, "tree")
     order = Window.partitionBy("tree").orderBy("__draw", row_id)
     return candidates.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= psi)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import HOT_LIMIT, ordered_scan, split_hot
+from riskloom.operators.skew import HOT_LIMIT, Split, ordered_scan, split_hot, two_level_scan
 from riskloom.schemas import WINDOW_1H, WINDOW_5MIN
 
 
@@ -49,18 +49,19 @@ def velocity(
     user="user_id",
     ts="ts",
     hot_limit: int = HOT_LIMIT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the same user in trailing windows (seconds), the current row and ties included.
 
     One shuffle by user serves every window.  Users with more than ``hot_limit`` rows are counted
-    through prefix sums instead (see ``hot_velocity``).
+    through prefix sums instead (see ``hot_velocity``); ``counted`` as in ``split_hot``.
     """
     windows = windows or {"tx_count_last_5min": WINDOW_5MIN, "tx_count_last_1h": WINDOW_1H}
-    split = split_hot(df, [user], hot_limit)
+    split = split_hot(df, [user], hot_limit, counted)
     plain = split.cold.withColumns(trailing_counts(windows, user=user, ts=ts))
     if split.hot is None:
         return plain
-    return plain.unionByName(hot_velocity(split.hot, windows, user, ts))
+    return plain.unionByName(hot_velocity(split, windows, user=user, ts=ts))
 
 
 def trailing_counts(windows: Mapping[str, int], *, user="user_id", ts="ts") -> dict[str, Column]:
@@ -72,12 +73,13 @@ def trailing_counts(windows: Mapping[str, int], *, user="user_id", ts="ts") -> d
     }
 
 
-def hot_velocity(df: DataFrame, windows: Mapping[str, int], user: str, ts: str) -> DataFrame:
+def hot_velocity(split: Split, windows: Mapping[str, int], *, user="user_id", ts="ts") -> DataFrame:
     """Count = rows up to ``ts`` minus rows before ``ts - window``, both read off one prefix sum.
 
     Rows are first collapsed to one per (user, time).  Each time also sets a zero-weight mark where
     its window opens; marks sort before rows of the same time, which belong to the window.
     """
+    df = split.hot
     per_time = df.filter(F.col(ts).isNotNull()).groupBy(user, ts).agg(F.count(F.lit(1)).alias("__add"))
     points = per_time.select(user, F.col(ts).alias("__at"), F.lit(len(windows)).alias("__mark"), "__add", ts)
     for mark, seconds in enumerate(windows.values()):
@@ -87,8 +89,8 @@ def hot_velocity(df: DataFrame, windows: Mapping[str, int], user: str, ts: str)
                 user, opens.alias("__at"), F.lit(mark).alias("__mark"), F.lit(0).cast("long").alias("__add"), ts
             )
         )
-    summed = ordered_scan(
-        points, [user], ["__at", "__mark"], prior={"__before": ("sum", F.col("__add"))}, hot_limit=0
+    summed = two_level_scan(
+        points, [user], ["__at", "__mark"], split.n_keys, prior={"__before": ("sum", F.col("__add"))}
     ).withColumn("__before", F.coalesce("__before", F.lit(0)))
     upto = F.max(F.when(F.col("__mark") == len(windows), F.col("__before") + F.col("__add")))
     counts = summed.groupBy(user, ts).agg(

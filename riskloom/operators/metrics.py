@@ -44,42 +44,38 @@ def binary_metrics(counts: DataFrame, digits: int | None = 4) -> DataFrame:
 
 
 def score_curve(df: DataFrame, score: str = "score", actual: str = "actual") -> DataFrame:
-    """One row per distinct score with its positives and negatives and those of all lower scores."""
+    """One row per distinct score with its positives and negatives and those of all higher scores."""
     positive = F.col(actual) == 1
-    grouped = df.groupBy(F.col(score).alias("score")).agg(
+    grouped = df.groupBy((-F.col(score).cast("double")).alias("__fall")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    return ordered_scan(
-        grouped,
-        [],
-        ["score"],
-        prior={"pos_below": ("sum", F.col("pos")), "neg_below": ("sum", F.col("neg"))},
-    ).na.fill(0, ["pos_below", "neg_below"])
+    above = {"pos_above": ("sum", F.col("pos")), "neg_above": ("sum", F.col("neg"))}
+    walked = ordered_scan(grouped, [], ["__fall"], prior=above).na.fill(0, list(above))
+    return walked.select((-F.col("__fall")).alias("score"), "pos", "neg", *above)
 
 
 def curve_areas(curve: DataFrame) -> DataFrame:
-    """``roc_auc`` and ``pr_auc`` from a ``score_curve``.
+    """``roc_auc`` and ``pr_auc`` from a ``score_curve``, in one aggregation.
 
     ROC: share of (positive, negative) pairs ranked rightly, ties half.  PR: trapezoids over falling
     thresholds, the curve starting at recall 0 with precision 1.  With one class only the ROC area is
     0; without positives recall counts as 1 everywhere, which leaves a PR area of one half.
     """
-    total = curve.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")).first()
-    all_pos, all_neg = total["all_pos"] or 0, total["all_neg"] or 0
     pos, neg = F.col("pos"), F.col("neg")
-    ranked = F.sum(pos * (F.col("neg_below") + neg / 2.0))
-    roc = F.lit(0.0) if not (all_pos and all_neg) else ranked / float(all_pos) / float(all_neg)
-    if all_pos:
-        # Rows at or above this score, and those above it only.
-        tp, n = all_pos - F.col("pos_below"), all_pos + all_neg - F.col("pos_below") - F.col("neg_below")
-        tp_above, n_above = tp - pos, n - pos - neg
-        before = F.when(n_above == 0, 1.0).otherwise(tp_above / n_above)
-        pr = F.sum(pos / float(all_pos) * (tp / n + before) / 2.0)
-    else:
-        pr = F.lit(0.5 if all_neg else 0.0)
-    return curve.agg(
-        F.coalesce(roc, F.lit(0.0)).alias("roc_auc"),
-        F.coalesce(pr, F.lit(0.0)).alias("pr_auc"),
+    pos_above, neg_above = F.col("pos_above"), F.col("neg_above")
+    n_above = pos_above + neg_above
+    precision = (pos_above + pos) / (n_above + pos + neg)
+    precision_above = F.when(n_above == 0, 1.0).otherwise(pos_above / n_above)
+    sums = curve.agg(
+        F.coalesce(F.sum("pos"), F.lit(0)).cast("double").alias("p"),
+        F.coalesce(F.sum("neg"), F.lit(0)).cast("double").alias("n"),
+        F.sum(pos * (neg_above + neg / 2.0)).alias("misranked"),
+        F.sum(pos * (precision + precision_above) / 2.0).alias("weighted"),
+    )
+    p, n = F.col("p"), F.col("n")
+    return sums.select(
+        F.when((p == 0) | (n == 0), 0.0).otherwise(1.0 - F.col("misranked") / p / n).alias("roc_auc"),
+        F.when(p > 0, F.col("weighted") / p).when(n > 0, 0.5).otherwise(0.0).alias("pr_auc"),
     )
 
 

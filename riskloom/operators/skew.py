@@ -24,11 +24,17 @@ _CELL = "__cell"
 
 @dataclass(frozen=True)
 class Split:
-    """Rows below the limit, rows of hot keys (None if there are none) and the hot keys themselves."""
+    """Rows of keys below the limit, rows of hot keys, the hot keys, and how many these are."""
 
     cold: DataFrame
-    hot: DataFrame | None
-    keys: DataFrame | None
+    hot: DataFrame | None = None
+    keys: DataFrame | None = None
+    n_keys: int = 0
+
+    @property
+    def few(self) -> bool:
+        """Whether the hot keys were counted to be few enough to broadcast."""
+        return self.n_keys <= BROADCAST_KEYS
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -42,17 +48,26 @@ def broadcast_if(frame: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(frame) if small else frame
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_LIMIT) -> Split:
-    """Split ``df`` by whether a key has more than ``limit`` rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+def split_hot(
+    df: DataFrame, keys: Sequence[str], limit: int = HOT_LIMIT, counted: DataFrame | None = None
+) -> Split:
+    """Split ``df`` by whether a key has more than ``limit`` rows.
+
+    ``counted`` is a cheaper table with the same keys, row by row, as ``df`` has, such as the table
+    ``df`` was joined from.
+    """
+    source = df if counted is None else counted
+    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     hot_keys = counts.filter(F.col("__rows") > limit).select(*keys)
-    if hot_keys.isEmpty():
-        return Split(df, None, None)
+    n_keys = hot_keys.count()
+    if n_keys == 0:
+        return Split(df)
     hot_keys = settle(hot_keys)
-    # There can be at most rows / limit hot keys; broadcast them only if they are in fact few.
-    side = broadcast_if(hot_keys, hot_keys.count() <= BROADCAST_KEYS)
+    # There can be at most rows / limit hot keys; they are broadcast only if they are in fact few.
+    side = broadcast_if(hot_keys, n_keys <= BROADCAST_KEYS)
     condition = null_safe(df, side, keys)
-    return Split(df.join(side, condition, "left_anti"), df.join(side, condition, "left_semi"), hot_keys)
+    cold, hot = df.join(side, condition, "left_anti"), df.join(side, condition, "left_semi")
+    return Split(cold, hot, hot_keys, n_keys)
 
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -85,12 +100,13 @@ def ordered_scan(
     """
     previous, prior = dict(previous or {}), dict(prior or {})
     if not keys:
-        return _two_level(df, [], order, position, previous, prior)
+        return two_level_scan(df, [], order, 0, position=position, previous=previous, prior=prior)
     split = split_hot(df, keys, hot_limit)
     plain = _windowed(split.cold, keys, order, position, previous, prior)
     if split.hot is None:
         return plain
-    return plain.unionByName(_two_level(split.hot, keys, order, position, previous, prior))
+    scanned = two_level_scan(split.hot, keys, order, split.n_keys, position=position, previous=previous, prior=prior)
+    return plain.unionByName(scanned)
 
 
 def _windowed(df, keys, order, position, previous, prior) -> DataFrame:
@@ -106,7 +122,18 @@ def _windowed(df, keys, order, position, previous, prior) -> DataFrame:
     return df.withColumns(columns)
 
 
-def _two_level(df, keys, order, position, previous, prior) -> DataFrame:
+def two_level_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    n_keys: int,
+    *,
+    position: str | None = None,
+    previous: Mapping[str, str] | None = None,
+    prior: Mapping[str, tuple[str, Column]] | None = None,
+) -> DataFrame:
+    """``ordered_scan`` of few keys with many rows each; ``n_keys`` is their number."""
+    previous, prior = dict(previous or {}), dict(prior or {})
     cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range bounds are sampled, so the cell of a row is fixed in a table before it is used twice.
     placed = settle(df.repartitionByRange(cells, *keys, *order).withColumn(_CELL, F.spark_partition_id()))
@@ -132,7 +159,8 @@ def _two_level(df, keys, order, position, previous, prior) -> DataFrame:
     if previous:
         offsets.append(F.lag("__last").over(run).alias("__b_last"))
     bases = per_cell.select(*keys, _CELL, *offsets)
-    few = not keys or per_cell.count() <= BROADCAST_KEYS
+    # Ranges of neighbouring keys share cells, so there are fewer bases than keys plus cells.
+    few = n_keys + cells <= BROADCAST_KEYS
     side = broadcast_if(bases.withColumnsRenamed({key: f"__k_{key}" for key in [*keys, _CELL]}), few)
     condition = F.lit(True)
     for key in [*keys, _CELL]:

@@ -83,13 +83,14 @@ def score_transactions(
     recent: str = "tx_count_last_5min",
     windows: Mapping[str, int] | None = None,
     hot_limit: int = HOT_LIMIT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Score every transaction; without a ``model`` the anomaly score is 0.
 
     ``recent`` names the velocity column the rule looks at, ``windows`` adds or changes windows.
     """
     kept = [name for name in df.columns if name not in ("status", *SCORE_COLUMNS)]
-    rows = attach_context(df, context, windows, hot_limit)
+    rows = attach_context(df, context, windows, hot_limit, counted)
     if model is None:
         ml = F.lit(0.0)
     else:

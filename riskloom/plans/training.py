@@ -30,7 +30,7 @@ def training_features(df: DataFrame, *, label: str = "is_fraud", hot_limit: int
     for name in ("card_last4", "country", "merchant_name"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    enriched = attach_context(rows, context, hot_limit=hot_limit)
+    enriched = attach_context(rows, context, hot_limit=hot_limit, counted=df)
     return enriched.select(
         "transaction_id", *[column.alias(f"f_{name}") for name, column in features_of().items()], label
     )

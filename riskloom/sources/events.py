@@ -26,6 +26,20 @@ CATEGORY_OF_TYPE = {
 }
 FRAUD_TYPE = "error"
 
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
+def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_table(spark, folder, name, SCHEMAS[name])
+
 
 def from_events(events: DataFrame) -> DataFrame:
     """The columns that an event row alone determines; works on streams as well."""
@@ -46,25 +60,25 @@ def from_events(events: DataFrame) -> DataFrame:
 
 def merchants(spark: SparkSession, folder: str) -> DataFrame:
     """The ten suppliers that transactions name, by key."""
-    suppliers = read_table(spark, folder, "supplier").filter(F.col("s_suppkey") < MERCHANTS)
+    suppliers = scan(spark, folder, "supplier").filter(F.col("s_suppkey") < MERCHANTS)
     return suppliers.select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("merchant_name"))
 
 
 def nations(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "nation").select(
+    return scan(spark, folder, "nation").select(
         F.col("n_nationkey").alias("nation_id"), F.col("n_name").alias("home_country")
     )
 
 
 def home_countries(spark: SparkSession, folder: str) -> DataFrame:
-    users = read_table(spark, folder, "customer").select(
+    users = scan(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nation_id")
     )
     return home_country(users, nations(spark, folder))
 
 
 def blacklist(spark: SparkSession, folder: str) -> DataFrame:
-    suppliers = read_table(spark, folder, "supplier").filter(F.col("s_acctbal") < BLACKLIST_BALANCE)
+    suppliers = scan(spark, folder, "supplier").filter(F.col("s_acctbal") < BLACKLIST_BALANCE)
     return suppliers.select(F.col("s_name").alias("merchant_name"))
 
 
@@ -83,7 +97,7 @@ def add_merchant_and_country(rows: DataFrame, spark: SparkSession, folder: str)
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """All events as transactions, with a proxy label ``is_fraud``."""
-    rows = from_events(read_table(spark, folder, "events"))
+    rows = from_events(scan(spark, folder, "events"))
     return add_merchant_and_country(rows, spark, folder).withColumn("created_at", F.col("ts"))
 
 

@@ -9,9 +9,10 @@ from riskloom.functions.clock import parse_wall_clock
 from riskloom.schemas import AUDIT_ENTRIES, TRAINING_CSV
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The parquet table ``name`` below ``folder``."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
+    """The parquet table ``name`` below ``folder``; a ``schema`` spares the job that looks it up."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
