@@ -53,7 +53,7 @@ def double_text(x: Column) -> Column:
         .when((size >= 1e7) & (size < 1e16), large)
         .when((size >= 1e-4) & (size < 1e-3), small)
         .when(size < 1e-4, tiny)
-        .otherwise(F.raise_error(F.concat(F.lit("no canonical text for "), java)))
+        .when(size >= 1e16, F.raise_error(F.concat(F.lit("no canonical text for "), java)))
     )
 
 

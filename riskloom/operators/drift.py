@@ -86,8 +86,8 @@ def feature_psi(long: DataFrame) -> DataFrame:
     """
     stats = sample_stats(long)
     parts = histogram(long, stats).join(F.broadcast(stats), "feature")
-    p = F.col("in_reference") / F.col("n_reference") + PSI_EPSILON
-    q = F.col("in_current") / F.col("n_current") + PSI_EPSILON
+    p = F.col("in_reference") / F.greatest("n_reference", F.lit(1)) + PSI_EPSILON
+    q = F.col("in_current") / F.greatest("n_current", F.lit(1)) + PSI_EPSILON
     term = F.struct(F.col("bin"), ((p - q) * F.ln(p / q)).alias("term"))
     # At most PSI_BINS entries per feature.
     terms = F.array_sort(F.collect_list(term))

@@ -98,7 +98,7 @@ def predict_anomaly(decision: Column) -> Column:
 
 def contamination(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """One row: share of labelled rows."""
-    return df.agg((F.sum(label).cast("double") / F.count(F.lit(1))).alias("contamination"))
+    return df.agg(F.try_divide(F.sum(label).cast("double"), F.count(F.lit(1))).alias("contamination"))
 
 
 def _height_limit(psi: int) -> int:

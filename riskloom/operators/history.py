@@ -19,7 +19,7 @@ def user_history(df: DataFrame, *, user="user_id", amount="amount", label: str |
     rows = df if label is None else df.filter(F.col(label) == 0)
     value = F.col(amount)
     return rows.groupBy(user).agg(
-        (F.sum(value.cast("decimal(12,2)")).cast("double") / F.count(value)).alias("avg_amount"),
+        F.try_divide(F.sum(value.cast("decimal(12,2)")).cast("double"), F.count(value)).alias("avg_amount"),
         F.stddev_pop(value.cast("double")).alias("std_amount"),
         F.count(value).alias("n_transactions"),
     )

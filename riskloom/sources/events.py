@@ -43,7 +43,7 @@ def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def from_events(events: DataFrame) -> DataFrame:
     """The columns that an event row alone determines; works on streams as well."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     category = F.create_map(*[F.lit(x) for pair in CATEGORY_OF_TYPE.items() for x in pair])
     return events.select(
         F.col("event_id").alias("transaction_id"),
