@@ -25,7 +25,7 @@ from riskloom.operators import alerts as alert_ops
 from riskloom.operators import audit, dashboard, drift, forest, history, metrics, reports, tables
 from riskloom.operators.context import mark_blacklisted
 from riskloom.plans import training
-from riskloom.plans.scoring import flags_of, score_transactions, scores_of, weights_from_table
+from riskloom.plans.scoring import alerts_from_scores, flags_of, score_transactions, scores_of, weights_from_table
 from riskloom.schemas import FEATURE_NAMES
 from riskloom.session import new_folder, settle
 from riskloom.sources import events as source
@@ -409,8 +409,8 @@ def alert_illegal(spark, folder):
 
 @query
 def dashboard_kpis(spark, folder):
-    rows = t.stored_transactions(spark, folder)
-    return dashboard.dashboard_kpis(rows, rows, t.alerts(spark, folder), t.model_runs(spark, folder))
+    rows = settle(t.stored_transactions(spark, folder))
+    return dashboard.dashboard_kpis(rows, rows, alerts_from_scores(rows), t.model_runs_of(rows))
 
 
 @query
@@ -604,7 +604,7 @@ def drift_report(spark, folder):
 
 
 def _feature_samples(spark, folder):
-    rows = t.features(spark, folder)
+    rows = settle(t.features(spark, folder))
     return drift.split_samples(rows, F.col("ts") < t.split_day(), FEATURES)
 
 
@@ -622,9 +622,9 @@ def drift_recent(spark, folder):
 @query
 def drift_recent_reference(spark, folder):
     """Against a stored reference sample: the scores of the first half of the month."""
-    rows = t.scored(spark, folder, weights=None)
+    rows = settle(scores_of(t.scored(spark, folder, weights=None)))
     path = new_folder(spark, "reference-sample")
-    io.replace_reference_sample(rows.filter(F.col("ts") < t.split_day()), path, "ensemble_score")
+    io.replace_reference_sample(rows.filter(F.col("created_at") < t.split_day()), path, "ensemble_score")
     found = drift.drift_of(drift.split_recent(rows, io.read_reference_sample(spark, path)))
     return found.withColumn("psi", F.round("psi", 6))
 
@@ -803,7 +803,7 @@ def csv_round_trip(spark, folder):
 def appended_tables(spark, folder):
     """Scores appended in two batches by day and read back."""
     path = new_folder(spark, "scores")
-    rows = scores_of(t.scored(spark, folder))
+    rows = settle(scores_of(t.scored(spark, folder)))
     io.append_by_day(rows.filter(F.col("created_at") < t.split_day()), path)
     io.append_by_day(rows.filter(F.col("created_at") >= t.split_day()), path)
     back = spark.read.parquet(path)

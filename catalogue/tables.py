@@ -137,8 +137,12 @@ def trail_of(rows: DataFrame) -> DataFrame:
 
 
 def daily_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return daily_metrics_of(scored(spark, folder))
+
+
+def daily_metrics_of(scored_rows: DataFrame) -> DataFrame:
     """Metrics of the rule classes against the proxy label, per day."""
-    rows = scored(spark, folder).select(
+    rows = scored_rows.select(
         F.to_date("ts").alias("day"),
         F.when(F.col("classification") == "fraud", 1).otherwise(0).alias("predicted"),
         F.col("is_fraud").alias("actual"),
@@ -147,8 +151,12 @@ def daily_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return model_runs_of(scored(spark, folder))
+
+
+def model_runs_of(scored_rows: DataFrame) -> DataFrame:
     """One run per day, named by its day."""
-    return daily_metrics(spark, folder).select(
+    return daily_metrics_of(scored_rows).select(
         F.concat(F.lit("v"), F.date_format("day", "yyyy-MM-dd")).alias("model_version"),
         "precision",
         "recall",

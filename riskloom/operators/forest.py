@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -87,6 +87,10 @@ class Forest:
         """``name``: negated anomaly score in [-1, 0); lower is more anomalous."""
         return df.withColumn(name, self._score_udf()(*features))
 
+    def calibrated(self, scores: DataFrame, contamination: float) -> Forest:
+        """The forest with the offset that makes this share of ``scores(anomaly)`` anomalies."""
+        return replace(self, contamination=contamination, offset=exact_quantile(scores, "anomaly", contamination))
+
     def add_decision(self, df: DataFrame, features: Sequence[Column], name: str = "decision") -> DataFrame:
         """``name``: score minus offset; negative means anomaly."""
         return self.add_scores(df, features, name).withColumn(name, F.col(name) - self.offset)
@@ -169,19 +173,23 @@ def fit_forest(
     psi: int = FOREST_PSI,
     seed: int = FOREST_SEED,
     contamination: float | None = None,
+    n_rows: int | None = None,
 ) -> Forest:
-    """Grow the trees; with a ``contamination`` the offset is that quantile of the training scores."""
+    """Grow the trees; with a ``contamination`` the offset is that quantile of the training scores.
+
+    ``n_rows`` is the number of rows, if already known.
+    """
     named = [column.cast("double").alias(f"f{i}") for i, column in enumerate(features)]
     matrix = df.select(F.col(row_id), *named)
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     psi = min(psi, n)
     samples = draw_samples(matrix, row_id, n, n_trees, psi, seed)
     grown = samples.groupBy("tree").applyInPandas(_grow(seed, _height_limit(psi), len(named)), FOREST_NODES)
-    forest = Forest(settle(grown), n_trees, psi, seed, contamination, AUTO_OFFSET)
+    forest = Forest(settle(grown), n_trees, psi, seed, None, AUTO_OFFSET)
     if contamination is None:
         return forest
     scores = settle(forest.add_scores(matrix, [F.col(f"f{i}") for i in range(len(named))]).select("anomaly"))
-    return Forest(forest.nodes, n_trees, psi, seed, contamination, exact_quantile(scores, "anomaly", contamination))
+    return forest.calibrated(scores, contamination)
 
 
 def save_forest(forest: Forest, path: str) -> None:

@@ -9,6 +9,7 @@ the earlier cells - one small row per cell - are added.  Both ways give the same
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from riskloom.session import settle
 
 HOT_LIMIT = 1_000_000
+CELL_ROWS = 2_000_000
 BROADCAST_KEYS = 100_000
 _CELL = "__cell"
 
@@ -134,7 +136,9 @@ def two_level_scan(
 ) -> DataFrame:
     """``ordered_scan`` of few keys with many rows each; ``n_keys`` is their number."""
     previous, prior = dict(previous or {}), dict(prior or {})
-    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range partitioning reads its input twice, and the number of cells depends on its size.
+    df = settle(df)
+    cells = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / CELL_ROWS))
     # The range bounds are sampled, so the cell of a row is fixed in a table before it is used twice.
     placed = settle(df.repartitionByRange(cells, *keys, *order).withColumn(_CELL, F.spark_partition_id()))
     local = _windowed(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.context import ScoringContext, attach_context
-from riskloom.operators.forest import Forest, contamination, fit_forest, save_forest
+from riskloom.operators.forest import Forest, fit_forest, save_forest
 from riskloom.operators.history import user_history
 from riskloom.operators.metrics import evaluate_scores
 from riskloom.operators.skew import HOT_LIMIT
@@ -52,9 +52,12 @@ def train(
     """
     rows = settle(training_features(df, label=label, hot_limit=hot_limit))
     columns = [F.col(f"f_{name}") for name in FEATURE_NAMES]
-    share = contamination(rows, label).first()["contamination"]
-    forest = fit_forest(rows, columns, n_trees=n_trees, psi=psi, seed=seed, contamination=share)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(label), F.count(F.lit(1))).alias("share")).first()
+    grown = fit_forest(rows, columns, n_trees=n_trees, psi=psi, seed=seed, n_rows=size["n"])
+    # One pass of scores serves the calibration and the evaluation.
+    scores = settle(grown.add_scores(rows, columns).select("anomaly", label))
+    forest = grown.calibrated(scores, size["share"])
     if path is not None:
         save_forest(forest, path)
-    scored = settle(forest.add_decision(rows, columns).select("decision", label))
-    return Trained(forest, evaluate_scores(scored, actual=label))
+    decided = scores.withColumn("decision", F.col("anomaly") - forest.offset)
+    return Trained(forest, evaluate_scores(decided, actual=label))

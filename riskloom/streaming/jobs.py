@@ -7,7 +7,9 @@ a folder of its own, so that a repeated batch replaces itself.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -88,39 +90,46 @@ def velocity_sink(
 ) -> DataStreamWriter:
     """Trailing counts of a stream: each batch is counted together with the rows still in reach.
 
-    The sink table is the state: a batch reads the earlier batches' rows of the days its windows
-    touch, and runs the same operator as batch jobs, hot users included.  A late row is counted
+    The sink table, in folders by day, is the state: a batch reads the earlier batches' rows of the days
+    its windows touch, and runs the same operator as batch jobs, hot users included.  A late row is counted
     against the rows known so far; counts already written stay as they are.
     """
     windows = dict(windows or {"tx_count_last_5min": WINDOW_5MIN, "tx_count_last_1h": WINDOW_1H})
     reach = max(windows.values())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         try:
+            rows = batch.withColumn("__fresh", F.lit(True))
             bounds = batch.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-            fresh = batch.withColumn("__fresh", F.lit(True))
-            rows = fresh
-            earlier = _earlier_rows(spark, path, batch_id) if bounds["lo"] is not None else None
-            if earlier is not None:
-                lo = F.lit(bounds["lo"]).cast("timestamp_ntz") - F.expr(f"INTERVAL '{reach}' SECOND")
-                near = earlier.filter((F.col("day") >= F.to_date(lo)) & F.col(ts).between(lo, F.lit(bounds["hi"])))
-                old = near.select(user, ts).withColumn("__fresh", F.lit(False))
-                rows = fresh.unionByName(old, allowMissingColumns=True)
+            if bounds["lo"] is not None:
+                lo = bounds["lo"] - timedelta(seconds=reach)
+                earlier = _earlier_rows(batch.sparkSession, path, lo, bounds["hi"])
+                if earlier is not None:
+                    near = earlier.filter((F.col("batch_id") < batch_id) & F.col(ts).between(F.lit(lo), F.lit(bounds["hi"])))
+                    rows = rows.unionByName(
+                        near.select(user, ts).withColumn("__fresh", F.lit(False)), allowMissingColumns=True
+                    )
             counted = velocity(rows, windows, user=user, ts=ts, hot_limit=hot_limit).filter("__fresh").drop("__fresh")
-            counted = counted.withColumn("day", F.to_date(ts))
-            counted.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+            dated = counted.withColumns({"day": F.to_date(ts), "batch_id": F.lit(batch_id)})
+            # Only the folders of this batch are replaced if it is run again.
+            writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("day", "batch_id").parquet(path)
         finally:
             batch.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
-def _earlier_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+def _earlier_rows(spark: SparkSession, path: str, lo: datetime, hi: datetime) -> DataFrame | None:
+    """Rows written for the days from ``lo`` to ``hi``; only these days' folders are listed."""
+    days = ",".join(str(lo.date() + timedelta(days=i)) for i in range((hi.date() - lo.date()).days + 1))
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/day={{{days}}}")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
 
 
 def window_kpis(
