@@ -145,7 +145,7 @@ def velocity_12h_burst(spark, folder):
 
 @query
 def velocity_hot_users(spark, folder):
-    """The prefix-sum way, taken here by every user with more than 50 rows."""
+    """The running-sum way, taken here by every user with more than 50 rows."""
     rows = history.velocity(_base(spark, folder), {"n_1h": 3600, "n_12h": 12 * 3600}, hot_limit=50)
     return rows.select("transaction_id", "n_1h", "n_12h")
 

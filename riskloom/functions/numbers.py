@@ -28,7 +28,10 @@ def round_exact(x: Column, digits: int) -> Column:
 
 def fixed_text(x: Column, digits: int) -> Column:
     """``x`` with exactly ``digits`` decimals, rounded by its exact value."""
-    return F.format_string(f"%.{digits}f", round_exact(x.cast("double"), digits))
+    x = x.cast("double")
+    # The sign survives even where nothing but zeros is left of the number.
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(x.isNotNull(), F.concat(sign, F.format_string(f"%.{digits}f", F.abs(round_exact(x, digits)))))
 
 
 def double_text(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.history import hot_velocity, trailing_counts
-from riskloom.operators.skew import HOT_LIMIT, Split, broadcast_if, split_hot
+from riskloom.operators.skew import SLIDING_LIMIT, Split, broadcast_if, split_hot
 from riskloom.schemas import WINDOW_1H, WINDOW_5MIN
 
 VELOCITY_WINDOWS = {"tx_count_last_5min": WINDOW_5MIN, "tx_count_last_1h": WINDOW_1H}
@@ -77,13 +77,13 @@ def attach_context(
     df: DataFrame,
     context: ScoringContext,
     windows: Mapping[str, int] | None = None,
-    hot_limit: int = HOT_LIMIT,
+    hot_limit: int = SLIDING_LIMIT,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """All context columns.
 
     Rows are shuffled once by user: the velocity windows and the joins on the user share that
-    partitioning.  Users above ``hot_limit`` rows go another way: prefix-sum velocity and joins
+    partitioning.  Users above ``hot_limit`` rows go another way: running-sum velocity and joins
     against the context of these few users.  ``counted`` is as in ``split_hot``.
     """
     windows = windows or VELOCITY_WINDOWS

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import HOT_LIMIT, Split, ordered_scan, split_hot, two_level_scan
+from riskloom.operators.skew import HOT_LIMIT, SLIDING_LIMIT, Split, ordered_scan, split_hot, two_level_scan
 from riskloom.schemas import WINDOW_1H, WINDOW_5MIN
 
 
@@ -48,13 +48,13 @@ def velocity(
     *,
     user="user_id",
     ts="ts",
-    hot_limit: int = HOT_LIMIT,
+    hot_limit: int = SLIDING_LIMIT,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the same user in trailing windows (seconds), the current row and ties included.
 
     One shuffle by user serves every window.  Users with more than ``hot_limit`` rows are counted
-    through prefix sums instead (see ``hot_velocity``); ``counted`` as in ``split_hot``.
+    through running sums instead (see ``hot_velocity``); ``counted`` as in ``split_hot``.
     """
     windows = windows or {"tx_count_last_5min": WINDOW_5MIN, "tx_count_last_1h": WINDOW_1H}
     split = split_hot(df, [user], hot_limit, counted)
@@ -74,32 +74,27 @@ def trailing_counts(windows: Mapping[str, int], *, user="user_id", ts="ts") -> d
 
 
 def hot_velocity(split: Split, windows: Mapping[str, int], *, user="user_id", ts="ts") -> DataFrame:
-    """Count = rows up to ``ts`` minus rows before ``ts - window``, both read off one prefix sum.
+    """The counts as running sums: a row adds one when it comes and takes it back when its window ends.
 
-    Rows are first collapsed to one per (user, time).  Each time also sets a zero-weight mark where
-    its window opens; marks sort before rows of the same time, which belong to the window.
+    Rows are first collapsed to one per (user, time).  A row still counts at the very end of its
+    window, so endings sort behind rows of the same time.  The cost does not depend on how many rows
+    a window holds, which a sliding frame's does.
     """
     df = split.hot
-    per_time = df.filter(F.col(ts).isNotNull()).groupBy(user, ts).agg(F.count(F.lit(1)).alias("__add"))
-    points = per_time.select(user, F.col(ts).alias("__at"), F.lit(len(windows)).alias("__mark"), "__add", ts)
-    for mark, seconds in enumerate(windows.values()):
-        opens = F.col(ts) - F.expr(f"INTERVAL '{int(seconds)}' SECOND")
-        points = points.unionByName(
-            per_time.select(
-                user, opens.alias("__at"), F.lit(mark).alias("__mark"), F.lit(0).cast("long").alias("__add"), ts
-            )
-        )
-    summed = two_level_scan(
-        points, [user], ["__at", "__mark"], split.n_keys, prior={"__before": ("sum", F.col("__add"))}
-    ).withColumn("__before", F.coalesce("__before", F.lit(0)))
-    upto = F.max(F.when(F.col("__mark") == len(windows), F.col("__before") + F.col("__add")))
-    counts = summed.groupBy(user, ts).agg(
-        *[
-            (upto - F.max(F.when(F.col("__mark") == mark, F.col("__before")))).alias(name)
-            for mark, name in enumerate(windows)
-        ]
+    per_time = df.filter(F.col(ts).isNotNull()).groupBy(user, ts).agg(F.count(F.lit(1)).alias("__n"))
+    steps = {f"__step_{i}": name for i, name in enumerate(windows)}
+    points = per_time.select(user, F.col(ts).alias("__at"), F.lit(0).alias("__mark"), *[F.col("__n").alias(s) for s in steps])
+    for i, seconds in enumerate(windows.values()):
+        back = [F.when(F.lit(s == f"__step_{i}"), -F.col("__n")).otherwise(F.lit(0)).alias(s) for s in steps]
+        ends = F.col(ts) + F.expr(f"INTERVAL '{int(seconds)}' SECOND")
+        points = points.unionByName(per_time.select(user, ends.alias("__at"), F.lit(i + 1).alias("__mark"), *back))
+    before = {f"__before{s}": ("sum", F.col(s)) for s in steps}
+    walked = two_level_scan(points, [user], ["__at", "__mark"], split.n_keys, prior=before)
+    counts = walked.filter(F.col("__mark") == 0).select(
+        F.col(user).alias("__user"),
+        F.col("__at").alias("__ts"),
+        *[(F.coalesce(F.col(f"__before{s}"), F.lit(0)) + F.col(s)).alias(name) for s, name in steps.items()],
     )
-    counts = counts.withColumnsRenamed({user: "__user", ts: "__ts"})
     same = F.col(user).eqNullSafe(F.col("__user")) & (F.col(ts) == F.col("__ts"))
     return df.join(counts, same, "left").drop("__user", "__ts")
 

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from riskloom.session import settle
 
+# Rows of one key that one task may scan in order, and, since a sliding frame is evaluated anew for
+# every row, the lower number that it may slide over.
 HOT_LIMIT = 1_000_000
+SLIDING_LIMIT = 100_000
 CELL_ROWS = 2_000_000
 BROADCAST_KEYS = 100_000
 _CELL = "__cell"

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from riskloom.functions.ensemble import classify, combine, ml_score, status_from_class, threshold
 from riskloom.functions.features import feature_columns
 from riskloom.functions.rules import fired_rules, rule_flags, rule_score
+from riskloom.operators.audit import audit_scoring
 from riskloom.operators.context import ScoringContext, attach_context
 from riskloom.operators.forest import Forest
-from riskloom.operators.skew import HOT_LIMIT
+from riskloom.operators.skew import SLIDING_LIMIT
 from riskloom.schemas import ALERT_OPEN, THRESHOLD_TIERS
+from riskloom.session import settle
+from riskloom.sources.tables import append_by_day
 
 SCORE_COLUMNS = ("rule_score", "ml_score", "ensemble_score", "threshold", "classification", "fired_rules")
 
@@ -82,7 +85,7 @@ def score_transactions(
     context_score: Column | None = None,
     recent: str = "tx_count_last_5min",
     windows: Mapping[str, int] | None = None,
-    hot_limit: int = HOT_LIMIT,
+    hot_limit: int = SLIDING_LIMIT,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Score every transaction; without a ``model`` the anomaly score is 0.
@@ -120,6 +123,18 @@ def alerts_from_scores(scored: DataFrame) -> DataFrame:
     )
 
 
+def store_scoring(scored: DataFrame, path: str) -> DataFrame:
+    """Append scores, alerts and audit entries of a scored batch below ``path``; returns the stored batch.
+
+    The batch is computed once, into a table of its own, and the three tables are projections of that.
+    """
+    stored = settle(scored)
+    append_by_day(scores_of(stored), f"{path}/scores")
+    append_by_day(alerts_from_scores(stored), f"{path}/alerts")
+    append_by_day(audit_scoring(stored), f"{path}/audit")
+    return stored
+
+
 def weights_from_table(rule_metadata: DataFrame, limit: int = 100) -> dict[str, float]:
     """Active rules and their weights, read from a table of at most ``limit`` rules."""
     rows = rule_metadata.filter(F.col("is_active")).select("name", "weight").take(limit + 1)

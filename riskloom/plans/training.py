@@ -11,7 +11,7 @@ from riskloom.operators.context import ScoringContext, attach_context
 from riskloom.operators.forest import Forest, fit_forest, save_forest
 from riskloom.operators.history import user_history
 from riskloom.operators.metrics import evaluate_scores
-from riskloom.operators.skew import HOT_LIMIT
+from riskloom.operators.skew import SLIDING_LIMIT
 from riskloom.plans.scoring import features_of
 from riskloom.schemas import FEATURE_NAMES, FOREST_PSI, FOREST_SEED, FOREST_TREES
 from riskloom.session import settle
@@ -23,7 +23,7 @@ class Trained:
     metrics: DataFrame
 
 
-def training_features(df: DataFrame, *, label: str = "is_fraud", hot_limit: int = HOT_LIMIT) -> DataFrame:
+def training_features(df: DataFrame, *, label: str = "is_fraud", hot_limit: int = SLIDING_LIMIT) -> DataFrame:
     """``transaction_id``, the ten features and the label; the history comes from legitimate rows only."""
     context = ScoringContext(history=user_history(df, label=label))
     rows = df
@@ -44,7 +44,7 @@ def train(
     psi: int = FOREST_PSI,
     seed: int = FOREST_SEED,
     path: str | None = None,
-    hot_limit: int = HOT_LIMIT,
+    hot_limit: int = SLIDING_LIMIT,
 ) -> Trained:
     """Fit on all rows with their label share as contamination, evaluate on them, optionally save.
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from riskloom.operators.audit import audit_scoring
 from riskloom.operators.context import ScoringContext, join_user_context, mark_blacklisted
 from riskloom.operators.history import velocity
-from riskloom.operators.skew import HOT_LIMIT
+from riskloom.operators.skew import SLIDING_LIMIT
 from riskloom.plans.scoring import alerts_from_scores, flags_of, score_columns, scores_of
 from riskloom.schemas import THRESHOLD_TIERS, WINDOW_1H, WINDOW_5MIN
 
@@ -86,7 +86,7 @@ def velocity_sink(
     *,
     user: str = "user_id",
     ts: str = "ts",
-    hot_limit: int = HOT_LIMIT,
+    hot_limit: int = SLIDING_LIMIT,
 ) -> DataStreamWriter:
     """Trailing counts of a stream: each batch is counted together with the rows still in reach.
 

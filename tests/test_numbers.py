@@ -13,7 +13,7 @@ QUIET = settings(max_examples=10, deadline=None, suppress_health_check=list(Heal
 
 def test_rounding_follows_the_exact_value(spark):
     rng = random.Random(1)
-    numbers = [2.675, 13.25, 0.35, 0.45, 0.25, 0.75, 29.25, 1.005, -2.675, 0.125, 1e-9, 0.0, -0.5]
+    numbers = [2.675, 13.25, 0.35, 0.45, 0.25, 0.75, 29.25, 1.005, -2.675, 0.125, 1e-9, 0.0, -0.5, -0.0, -0.0001, -0.04, -0.05]
     numbers += [rng.randint(0, 200000) / 1000 for _ in range(5000)] + [rng.randint(0, 10**6) / 20000 for _ in range(5000)]
     df = spark.createDataFrame([(x,) for x in numbers], "x double")
     for digits in (1, 2, 4):
