@@ -579,6 +579,9 @@ ORACLE = {
   ts + d * INTERVAL 1 SECOND AS next_attempt_at
   FROM (SELECT event_id AS transaction_id, ts, CAST(event_id % 5 AS INTEGER) AS retry_count,
     CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 9 WHEN 2 THEN 27 END AS d FROM events)""",
+    "abandoned_reports": """SELECT event_id AS transaction_id, 'Error después de 3 intentos: timeout ' || (event_id % 3) AS report_text,
+  'failed' AS status, CAST(event_id % 5 AS INTEGER) AS retry_count, 'timeout ' || (event_id % 3) AS error, ts AS created_at
+  FROM events WHERE event_id % 5 >= 3""",
     "report_status": _sql(
         "scored reports",
         """SELECT s.transaction_id, CASE WHEN r.status IS NULL THEN 404 WHEN r.status = 'pending' THEN 202 ELSE 200 END AS status_code,

@@ -719,6 +719,18 @@ def retry_plan(spark, folder):
     return reports.retry_plan(rows)
 
 
+@query
+def abandoned_reports(spark, folder):
+    rows = _base(spark, folder).select(
+        "transaction_id",
+        (F.col("transaction_id") % 5).cast("int").alias("retry_count"),
+        F.concat(F.lit("timeout "), F.col("transaction_id") % 3).alias("error"),
+        F.col("ts").alias("failed_at"),
+    )
+    done = reports.abandoned_reports(rows, "local-model")
+    return done.select("transaction_id", "report_text", "status", "retry_count", "error", "created_at")
+
+
 @query
 def report_status(spark, folder):
     rows = settle(t.scored(spark, folder))

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from riskloom.functions.prompt import DEFAULT_TEMPLATE, build_prompt
 from riskloom.schemas import BACKOFF_BASE, FAILURE_PREFIX, MAX_RETRIES, REPORT_REQUEST
 
+# Fixed value: text of a report given up after n retries, followed by the error.
+ABANDONED_TEXT = "Error después de {n} intentos: "
 FAILURE_DETAIL = "The report could not be generated; the report service may be unavailable."
 
 
@@ -104,6 +106,21 @@ def retry_plan(attempts: DataFrame, max_retries: int = MAX_RETRIES, base: int =
     )
 
 
+def abandoned_reports(attempts: DataFrame, model_name: str, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Failed report rows for attempts (``transaction_id, retry_count, error, failed_at``) out of retries."""
+    text = F.concat(F.lit(ABANDONED_TEXT.format(n=max_retries)), F.coalesce("error", F.lit("")))
+    return attempts.filter(F.coalesce("retry_count", F.lit(0)) >= max_retries).select(
+        "transaction_id",
+        text.alias("report_text"),
+        F.lit(model_name).alias("model_name"),
+        F.lit("failed").alias("status"),
+        F.lit(None).cast("int").alias("generation_time_ms"),
+        "retry_count",
+        "error",
+        F.col("failed_at").alias("created_at"),
+    )
+
+
 def report_status(transactions: DataFrame, reports: DataFrame) -> DataFrame:
     """Per transaction: 404 without a report, 202 while pending, else 200; failed ones with a detail."""
     report = reports.select("transaction_id", F.col("status").alias("report_status"), "report_text")

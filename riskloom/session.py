@@ -35,12 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="riskloom-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{shared_folder(spark)}/riskloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(frame: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ a folder of its own, so that a repeated batch replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from riskloom.operators.audit import audit_scoring
 from riskloom.operators.context import ScoringContext, join_user_context, mark_blacklisted
@@ -139,14 +139,15 @@ def window_kpis(
 
     Windows close, and are written in append mode, once the watermark has passed them.
     """
-    counted = _event_time(scored, ts).withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w")).agg(
+    timed, back = _event_time(scored, ts)
+    counted = timed.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w")).agg(
         F.count(F.lit(1)).alias("n_transactions"),
         F.count_if(F.col("classification") == "fraud").alias("n_fraud"),
         F.avg("ensemble_score").alias("avg_score"),
     )
     return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        back(F.col("w.start")).alias("window_start"),
+        back(F.col("w.end")).alias("window_end"),
         "n_transactions",
         "n_fraud",
         "avg_score",
@@ -155,12 +156,22 @@ def window_kpis(
 
 def unique_requests(stream: DataFrame, *, ts: str = "ts", row_id: str = "transaction_id", delay: str = "1 hour") -> DataFrame:
     """Each request once; repeats within ``delay`` are dropped and the state is bounded by it."""
-    return _event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([row_id])
+    timed, back = _event_time(stream, ts)
+    unique = timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([row_id])
+    return unique.withColumn(ts, back(F.col(ts)))
 
 
-def _event_time(stream: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need a zoned timestamp; the session zone is UTC."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+def _event_time(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The stream with the zoned time that watermarks need, and the way back.
+
+    Wall-clock times are taken as UTC, whatever zone the session has, so that windows begin at full
+    hours and days of that clock.
+    """
+    if stream.schema[ts].dataType != TimestampNTZType():
+        return stream, lambda column: column
+    zone = F.current_timezone()
+    timed = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
+    return timed, lambda column: F.to_utc_timestamp(column, zone).cast("timestamp_ntz")
 
 
 def run_to_end(writer: DataStreamWriter, timeout: int = 600) -> None:

@@ -11,7 +11,7 @@ from riskloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     conf = {
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": "3",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
