@@ -22,7 +22,10 @@ from riskloom.session import settle
 # every row, the lower number that it may slide over.
 HOT_LIMIT = 1_000_000
 SLIDING_LIMIT = 100_000
+# Rows of a cell: at least about the first number, at most about the second up to the number of cells.
+SMALL_CELL = 1_000
 CELL_ROWS = 2_000_000
+MAX_CELLS = 20_000
 BROADCAST_KEYS = 100_000
 _CELL = "__cell"
 
@@ -127,6 +130,12 @@ def _windowed(df, keys, order, position, previous, prior) -> DataFrame:
     return df.withColumns(columns)
 
 
+def _cells(n: int, partitions: int) -> int:
+    """As many cells as the session has partitions, fewer for small data and more for large data."""
+    few, many = math.ceil(n / SMALL_CELL), math.ceil(n / CELL_ROWS)
+    return max(1, min(few, partitions), min(many, MAX_CELLS))
+
+
 def two_level_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -141,7 +150,7 @@ def two_level_scan(
     previous, prior = dict(previous or {}), dict(prior or {})
     # Range partitioning reads its input twice, and the number of cells depends on its size.
     df = settle(df)
-    cells = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / CELL_ROWS))
+    cells = _cells(df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The range bounds are sampled, so the cell of a row is fixed in a table before it is used twice.
     placed = settle(df.repartitionByRange(cells, *keys, *order).withColumn(_CELL, F.spark_partition_id()))
     local = _windowed(

@@ -21,6 +21,12 @@ def spark():
     return session
 
 
+@pytest.fixture(autouse=True)
+def small_cells(monkeypatch):
+    """Cut even small fixtures into several cells."""
+    monkeypatch.setattr("riskloom.operators.skew.SMALL_CELL", 20)
+
+
 @pytest.fixture(scope="session")
 def folder():
     return "/root/testdata/sf0.001"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.context import ScoringContext, attach_context
 from riskloom.operators.history import attach_history, home_country, known_cards, point_in_time_history, user_history, velocity
-from riskloom.operators.skew import ordered_scan, split_hot
+from riskloom.operators.skew import _cells, ordered_scan, split_hot
 
 SCHEMA = "transaction_id long, user_id string, ts timestamp_ntz, amount decimal(12,2)"
 WINDOWS = {"short": 60, "long": 600}
@@ -138,3 +138,8 @@ def test_known_cards_and_home(spark):
     users = spark.createDataFrame([("a", 1), ("b", 9)], "user_id string, nation_id int")
     nations = spark.createDataFrame([(1, "FR")], "nation_id int, home_country string")
     assert rows(home_country(users, nations)) == [("a", "FR"), ("b", None)]
+
+
+def test_number_of_cells(monkeypatch):
+    monkeypatch.undo()
+    assert [_cells(n, 200) for n in (0, 1, 1001, 10**6, 10**9, 10**12)] == [1, 1, 2, 200, 500, 20_000]
