@@ -585,7 +585,7 @@ ORACLE = {
     "report_status": _sql(
         "scored reports",
         """SELECT s.transaction_id, CASE WHEN r.status IS NULL THEN 404 WHEN r.status = 'pending' THEN 202 ELSE 200 END AS status_code,
-  CASE WHEN r.status = 'failed' THEN 'The report could not be generated; the report service may be unavailable.' END
+  CASE WHEN r.status = 'failed' THEN 'Report generation failed. The LLM service may be unavailable.' END
     AS error_detail FROM scored s LEFT JOIN reports r USING (transaction_id)""",
     ),
     "ml_score_map": _sql(

@@ -457,7 +457,7 @@ def transactions_with_score(spark, folder):
 def transaction_detail(spark, folder):
     rows = settle(t.scored(spark, folder))
     scores = rows.select("transaction_id", "rule_score", "ensemble_score", "classification")
-    detail = dashboard.transaction_detail(_base(spark, folder), scores, t.reports_of(rows), t.trail_of(rows))
+    detail = dashboard.transaction_detail(_base(spark, folder), scores, t.reports_of(rows), settle(t.trail_of(rows)))
     return detail.select(
         "transaction_id", "rule_score", "ensemble_score", "classification", "report_status", "entry_action", "entry_at", "entry_checksum"
     )
@@ -489,7 +489,7 @@ def audit_trail(spark, folder):
 
 @query
 def audit_chains(spark, folder):
-    rows = audit.chains(t.trail(spark, folder))
+    rows = audit.chains(settle(t.trail(spark, folder)))
     return rows.select("transaction_id", "step", "action_type", "sha256_checksum")
 
 

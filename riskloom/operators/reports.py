@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from riskloom.functions.prompt import DEFAULT_TEMPLATE, build_prompt
 from riskloom.schemas import BACKOFF_BASE, FAILURE_PREFIX, MAX_RETRIES, REPORT_REQUEST
 
-# Fixed value: text of a report given up after n retries, followed by the error.
+# Text of a report given up after n retries, followed by the error; detail of a failed report.
 ABANDONED_TEXT = "Error después de {n} intentos: "
-FAILURE_DETAIL = "The report could not be generated; the report service may be unavailable."
+FAILURE_DETAIL = "Report generation failed. The LLM service may be unavailable."
 
 
 def report_queue(scored: DataFrame, known: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Generated methods beyond this size are never compiled by the JVM; smaller ones take their place.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Rows partitioned by user need no second shuffle for a join on (user, card).
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         **conf,
