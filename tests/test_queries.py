@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalogue.oracle import ORACLE
+from catalogue.queries import QUERIES
 from check import compare, connect
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def plan(df):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(ORACLE) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def connection(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, folder, name):
     agrees, text = compare(spark, connection, folder, name)
     assert agrees, text
@@ -37,7 +39,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", ["scored_transactions", "features", "feature_drift", "audit_chains", "prompts", "dashboard_kpis", "history_prior"])
 def test_plans_stay_in_the_jvm(spark, folder, name):
-    text = plan(queries()[name](spark, folder))
+    text = plan(QUERIES[name](spark, folder))
     assert not any(node in text for node in PYTHON_NODES)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
@@ -64,9 +66,9 @@ def test_one_wide_shuffle_by_user(spark, folder):
 
 
 def test_scans_are_pruned_and_filtered(spark, folder):
-    text = plan(queries()["tx_per_day"](spark, folder))
+    text = plan(QUERIES["tx_per_day"](spark, folder))
     assert "ReadSchema: struct<ts:timestamp_ntz>" in text
-    text = plan(queries()["known_cards"](spark, folder))
+    text = plan(QUERIES["known_cards"](spark, folder))
     assert "PushedFilters: [IsNotNull(ts), LessThan(ts" in text and "value" not in text.split("ReadSchema")[1]
 
 
