@@ -163,8 +163,9 @@ def classes(
     """(doc_id, class_id, n_links): class_id is the least id of the class, n_links the links verified at the row's text.
 
     Equal texts (by their words in order) are one text with its least id as ``rep``. In a bucket of a band every text
-    is compared with the bucket's least rep, so a bucket of n texts gives n-1 pairs; those that fail it
-    meet again under a least rep of their own, until each is linked or has been one.
+    is compared with the bucket's least rep, so a bucket of n texts gives n-1 pairs; those not in the
+    class of that rep by then, by whatever links, meet again under more reps of their own, until each is
+    in such a class or has been one. n_links counts the links so found, not all pairs of a class.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     digest = F.sha2("text", 256)
@@ -174,22 +175,34 @@ def classes(
     texts = source.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").where(digest == F.col("digest"))
     texts = settle(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]))
     rows = settle(banded(texts, bands, depth))
-    links = None
+    links = roots = tried = None
+    spread = 1
     while True:
-        pivots = rows.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-        sizes = rows.select(F.col("band"), F.col("rep").alias("a"), F.col("total").alias("size"))
-        pivots = pivots.join(sizes, ["band", "a"])
+        part = F.pmod(F.xxhash64("rep"), F.lit(spread))
+        # The least rep of each of `spread` parts of a bucket; the first round has one, each later one four times more.
+        chosen = rows.groupBy("band", part.alias("part")).agg(F.min(F.struct("rep", "total")).alias("p"))
+        shared = settle(rows.groupBy("band").count().where("count > 1").select("band"))
+        if not shared.limit(1).count():
+            break
+        pivots = settle(chosen.join(shared, "band").select("band", F.col("p.rep").alias("a"), F.col("p.total").alias("size")))
         members = rows.join(pivots, "band").where("rep <> a")
         fits = F.least("total", "size") >= F.lit(similarity) * F.greatest("total", "size")
-        pairs = members.where(fits).select("a", F.col("rep").alias("b")).distinct()
+        pairs = members.where(fits).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = settle(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         found = settle(verified(pairs, texts, similarity))
-        links = found if links is None else links.union(found)
-        held = found.withColumnRenamed("b", "rep")
-        rows = settle(members.join(held, ["a", "rep"], "left_anti").select("rep", "total", "band"))
-        if not rows.limit(1).count():
-            break
-    links = settle(links.distinct())
-    roots = components(links)
+        links = found if links is None else settle(links.union(found))
+        roots = components(links)
+        known = members.join(roots, "rep", "left").join(roots.select(F.col("rep").alias("a"), F.col("root").alias("at")), "a", "left")
+        placed = known.where("root = at").select("rep", "band").union(pivots.select(F.col("a").alias("rep"), "band")).distinct()
+        rows = settle(rows.join(shared, "band", "left_semi").join(placed, ["rep", "band"], "left_anti"))
+        spread *= 4
+    if links is None:
+        links = rows.sparkSession.createDataFrame([], "a long, b long")
+        roots = rows.sparkSession.createDataFrame([], "rep long, root long")
+    links = links.distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = reps.join(roots, "rep", "left").join(degree, "rep", "left")
     known = settle(known.select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
