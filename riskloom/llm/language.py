@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
-SAMPLE, SNIPPET, DICTIONARY, PIECE, MARGIN = 200, 1000, 110_000, 2048, 0.002
+OTHER = re.compile(r"[\W\d_]+")
+SAMPLE, SNIPPET, DICTIONARY, PIECE, MARGIN = 200, 1000, 110_000, 1024, 0.002
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -30,7 +31,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET, text: s
     found: dict[str, list[tuple[int, str]]] = {}
     for row in buckets.collect():
         found.setdefault(row["lang"], []).append((row["bucket"], row["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)).encode()[:DICTIONARY] for k, v in sorted(found.items())}
+    return {k: OTHER.sub(" ", " ".join(t for _, t in sorted(v))).encode()[:DICTIONARY] for k, v in sorted(found.items())}
 
 
 @functools.lru_cache(maxsize=4)
@@ -47,7 +48,7 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...]):
 
 def sizes(text: str, dictionaries) -> list[tuple[int, str]]:
     """(bytes, language) by size. Pieces are compressed apart, so that a long text does not become its own dictionary."""
-    data = text.lower().encode()
+    data = OTHER.sub(" ", text.lower()).encode()  # letters alone tell the language
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
     return sorted((sum(len(c.compress(p)) for p in pieces), name) for name, c in _compressors(dictionaries))
 
