@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date, optional time of day (hours down to fractions of a second), optional offset.
+# Date, optional time of day (hours down to fractions of a second), optional offset; date and time each
+# have all of their separators or none.
 ISO_PATTERN = (
-    r"^(\d{4})-?(\d\d)-?(\d\d)"
-    r"(?:.(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d{1,6})\d*)?)?)?"
-    r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d)?)?)?)?$"
+    r"\A(?=\d{4}-\d\d-\d\d|\d{8})(\d{4})-?(\d\d)-?(\d\d)"
+    r"(?:.(?=\d\d(?::\d\d(?::\d\d)?)?(?![\d:])|\d\d(?:\d\d(?:\d\d)?)?(?![\d:]))(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d{1,6})\d*)?)?)?"
+    r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d)?)?)?)?\z"
 )
 
 

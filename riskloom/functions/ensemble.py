@@ -70,7 +70,8 @@ def _tier_value(amount: Column, tiers: Sequence[tuple], contiguous: bool, field:
 
 
 def classify(score: Column, limit: Column) -> Column:
-    return F.when(score > limit, "fraud").when(score == limit, "review").otherwise("legitimate")
+    """NULL without a score, which the status rules keep pending."""
+    return F.when(score > limit, "fraud").when(score == limit, "review").when(score.isNotNull(), "legitimate")
 
 
 def status_from_class(classification: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import double_text
 
-_PLAIN = r"^[ !#-\[\]-~]*$"
+_PLAIN = r"\A[ !#-\[\]-~]*\z"  # $ would also match before a last line end
 
 
 def _unicode_escape(code: Column) -> Column:

@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 
@@ -45,3 +46,27 @@ def test_json_values(value):
     assert value(json_string_list(F.array().cast("array<string>"))) == "[]"
     nothing = F.lit(None).cast("string")
     assert value(json_object({"b": nothing, "a": F.lit("1"), "c": F.lit("2")}, drop_null=True)) == '{"a": 1, "c": 2}'
+
+
+def test_text_before_a_last_line_end_is_escaped(value):
+    from riskloom.functions.jsontext import json_string
+
+    for text in ("plain", "x\n", "x\r\n", "x\u2028"):
+        assert value(json_string(F.col("x")), "x string", (text,)) == json.dumps(text)
+
+
+def test_iso_texts_have_all_separators_or_none(value):
+    from riskloom.functions.clock import parse_wall_clock
+
+    for text in ("2024-0101", "2024-01-01T03:0000", "2024-01-01\n", "202401-01"):
+        assert value(parse_wall_clock(F.col("x")), "x string", (text,)) is None
+    for text in ("2024-01-02", "20240102", "2024-01-02T03:04", "20240102T030405", "2024-01-02T03:04:05.25+01:00"):
+        expected = datetime.datetime.fromisoformat(text).replace(tzinfo=None)
+        assert value(parse_wall_clock(F.col("x")), "x string", (text,)) == expected
+
+
+def test_no_score_stays_pending(value):
+    from riskloom.functions.ensemble import classify, status_from_class
+
+    assert value(classify(F.col("x"), F.lit(1.0)), "x double", (None,)) is None
+    assert value(status_from_class(classify(F.col("x"), F.lit(1.0))), "x double", (None,)) == "pending"
