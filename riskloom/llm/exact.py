@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from riskloom.session import new_folder, settle
 
 SPACE = r"[\x20\x09-\x0D]"
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk; files grow as they fill, for a store of few entries would else reserve megabytes.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha(text: Column) -> Column:
@@ -46,19 +49,21 @@ def state_of(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    out, before = new_folder(spark, "state"), spark.conf.get(STORE, None)
+    out, before = new_folder(spark, "state"), {name: spark.conf.get(name, None) for name in STORE}
     stream = located(spark.readStream.schema(rows.schema).parquet(path))
     state = stream.groupBy("digest").agg(F.max(best()).alias("keep"), F.count(F.lit(1)).alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    spark.conf.set(STORE, ROCKS)
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True)
         query.foreachBatch(put).start().awaitTermination()
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     kept = "keep struct<chars:int,order:bigint,file:string,row:bigint,doc_id:bigint>"
     states = spark.read.schema(f"digest string, {kept}, n bigint, batch int").parquet(out)
     last = states.groupBy("digest").agg(F.max(F.struct("batch", "keep", "n")).alias("s"))
@@ -87,15 +92,15 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest
     own = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     members = members.select("*", own.alias("kept"))
 
-    # Hits meet the entry's text on (digest, salt), salted by the entry's size so that no key has more than a thousandth.
-    grouped = state.where("n > 1")
-    texts = located(rows).select("doc_id", "digest", "norm", "file", "row")
-    entry = texts.join(grouped.select("keep.file", "keep.row", "n"), ["file", "row"])
-    entry = entry.select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("entry"))
-    hits = texts.join(F.broadcast(hot.select("digest", "n")), "digest", "left")
+    # Whole texts of groups meet once, salted by group size so that no cell has more than about a thousandth of the rows. All of a
+    # cell, the entry among them, are equal if its least and greatest text are; cells of one group are held together likewise.
+    salted = state.where("n > 1").select("digest", salts.alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    texts = located(rows).select("digest", "norm", "file", "row").join(F.broadcast(hot.select("digest", "n")), "digest", "left")
     spread = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("file", "row"), salts)).cast("int")
-    hits = hits.withColumn("salt", spread)
-    checked = hits.join(entry, ["digest", "salt"]).where(F.col("norm") != F.col("entry"))
+    texts = texts.select("digest", "norm", spread.alias("salt")).join(salted, ["digest", "salt"])
+    cells = texts.groupBy("digest", "salt").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.max("salts").alias("salts"))
+    checked = cells.where("low <> high OR salts > 1").groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    checked = checked.where("low <> high")
     wrong = settle(checked.select("digest").distinct())
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "file", "row"]
     right = members.select(
