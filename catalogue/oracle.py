@@ -15,7 +15,7 @@ PARTS = {
     CASE WHEN e.event_type = 'error' THEN 1 ELSE 0 END AS is_fraud,
     h.n_name AS home_country, CASE WHEN e.k < 80 THEN h.n_name ELSE a.n_name END AS country
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
-  LEFT JOIN supplier s ON s.s_suppkey = e.event_id % 10
+  LEFT JOIN supplier s ON s.s_suppkey = e.event_id % (SELECT max(s_suppkey) + 1 FROM supplier)
   LEFT JOIN customer c ON c.c_custkey = e.user_id
   LEFT JOIN nation h ON h.n_nationkey = c.c_nationkey
   LEFT JOIN nation a ON a.n_nationkey = e.k % 25)""",
@@ -291,28 +291,14 @@ checked AS (SELECT *, concat_ws(',', CASE WHEN amount > 0 THEN NULL ELSE 'amount
   CASE WHEN length(card_last4) <> 4 THEN 'card_last4' END) AS reasons FROM faulty)"""
 _FLAGGED = """flagged AS (SELECT * FROM stored WHERE deleted_at IS NULL AND status = 'flagged'
   AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00')"""
-_PROMPT = """'Redacta en español un informe técnico para el equipo de riesgo sobre esta transacción.
-
-Transacción ' || transaction_id || '
-Monto: $' || CAST(amount AS DOUBLE) || ' ' || currency || '
-Comercio: ' || merchant_name || '
-
-Puntajes de 0 a 100
-Reglas: ' || printf('%.1f', rule_score) || '
-Modelo de anomalías: ' || printf('%.1f', ml_score) || '
-Combinado: ' || printf('%.1f', ensemble_score) || '
-Umbral: ' || printf('%.1f', threshold) || '
-
-Reglas activadas
+_PROMPT = """'Explica en español, para personal técnico, la puntuación de una operación que ya tiene su clase.
+Datos: id=' || transaction_id || '; importe=' || CAST(amount AS DOUBLE) || ' ' || currency || '; comercio=' || merchant_name || '
+Puntos: reglas=' || printf('%.1f', rule_score) || '; anomalía=' || printf('%.1f', ml_score) || '; conjunto='
+  || printf('%.1f', ensemble_score) || '; límite=' || printf('%.1f', threshold) || '
+Señales:
 ' || CASE WHEN fired_rules = '' THEN '- Ninguna regla activada'
   ELSE '- ' || replace(fired_rules, ',', chr(10) || '- ') END || '
-
-Secciones requeridas
-1. Justificación del riesgo: qué capa pesa más en el puntaje combinado y por qué.
-2. Recomendación técnica: qué medida conviene al equipo de operaciones.
-3. Factores contextuales: hora, comercio u otros datos que cambien la lectura.
-
-No emitas un veredicto de fraude: la clasificación ya la decide el sistema.'"""
+Usa los títulos Justificación del riesgo / Recomendación técnica / Factores contextuales, cita solo estos datos y no repitas ni discutas la clase.'"""
 _REASONS = "concat_ws(',', CASE WHEN n >= 3 THEN 'data_drift' END, CASE WHEN f1 < 0.7 THEN 'performance_degradation' END)"
 _COMBINE = "greatest(0::DOUBLE, least(100::DOUBLE, rule * {r}::DOUBLE + ml * {m}::DOUBLE + place * {c}::DOUBLE))"
 
@@ -361,7 +347,7 @@ ORACLE = {
         "tx",
         """SELECT transaction_id, count(*) OVER w AS prior_count,
   round(coalesce(avg(CAST(amount AS DOUBLE)) OVER w, 0), 6) AS prior_avg_amount,
-  round(coalesce(stddev_pop(CAST(amount AS DOUBLE)) OVER w, 0), 4) AS prior_std_amount FROM tx
+  round(coalesce(stddev_pop(CAST(amount AS DOUBLE)) OVER w, 0), 6) AS prior_std_amount FROM tx
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     ),
     "features": _sql(

@@ -35,9 +35,9 @@ def fixed_text(x: Column, digits: int) -> Column:
 
 
 def double_text(x: Column) -> Column:
-    """Shortest decimal text of a double: positional from 1e-4 on, ``d.ddde-XX`` below.
+    """Shortest decimal text of a double: positional from 1e-4 to 1e16, else with an exponent.
 
-    Numbers from 1e16 on are refused: the JVM's text is not always the shortest one there.
+    The digits are the JVM's, which are always the shortest ones from Java 19 on.
     """
     x = x.cast("double")
     java = x.cast("string")
@@ -56,7 +56,7 @@ def double_text(x: Column) -> Column:
         .when((size >= 1e7) & (size < 1e16), large)
         .when((size >= 1e-4) & (size < 1e-3), small)
         .when(size < 1e-4, tiny)
-        .when(size >= 1e16, F.raise_error(F.concat(F.lit("no canonical text for "), java)))
+        .when(size >= 1e16, F.concat(sign, F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e+"), exponent.cast("string")))
     )
 
 

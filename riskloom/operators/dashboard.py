@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import round_exact
 from riskloom.operators.drift import latest_status
+from riskloom.operators.tables import latest
 from riskloom.schemas import ALERT_OPEN, HISTOGRAM_BUCKETS
 
 
@@ -79,8 +80,10 @@ def score_trend(
 
 
 def transactions_with_score(transactions: DataFrame, scores: DataFrame) -> DataFrame:
-    """Transactions with their score and class; unscored ones stay, with NULLs."""
-    return transactions.join(scores.select("transaction_id", "ensemble_score", "classification"), "transaction_id", "left")
+    """Transactions with their latest score and class; unscored ones stay, with NULLs."""
+    time = [name for name in ("created_at",) if name in scores.columns]
+    last = latest(scores.select("transaction_id", *time, "ensemble_score", "classification")).drop(*time)
+    return transactions.join(last, "transaction_id", "left")
 
 
 def transactions_per_day(df: DataFrame, time: str = "created_at") -> DataFrame:
@@ -101,18 +104,18 @@ def fraud_by_country(scored: DataFrame) -> DataFrame:
 
 
 def transaction_detail(transactions: DataFrame, scores: DataFrame, reports: DataFrame, trail: DataFrame) -> DataFrame:
-    """Transaction, score, report and trail, one row per trail entry.
+    """Transaction, its latest score and report, and trail: one row per trail entry.
 
     The trail is not collected into an array: its length per transaction has no bound.
     """
-    report = reports.select("transaction_id", F.col("status").alias("report_status"), "report_text")
+    report = latest(reports).select("transaction_id", F.col("status").alias("report_status"), "report_text")
     entry = trail.select(
         F.col("transaction_id").alias("__subject"),
         F.col("action_type").alias("entry_action"),
         F.col("created_at").alias("entry_at"),
         F.col("sha256_checksum").alias("entry_checksum"),
     )
-    head = transactions.join(scores, "transaction_id", "left").join(report, "transaction_id", "left")
+    head = transactions.join(latest(scores), "transaction_id", "left").join(report, "transaction_id", "left")
     head = head.withColumn("__key", F.col("transaction_id").cast("string"))
     # An inner join lets adaptive execution split a transaction with very many entries; a left join would not.
     told = head.join(entry, F.col("__key") == F.col("__subject"))

@@ -118,16 +118,18 @@ def point_in_time_history(
             "__n": ("sum", F.lit(1).cast("long")),
             "__sum": ("sum", value),
             "__squares": ("sum", value * value),
-            "__low": ("min", value),
-            "__high": ("max", value),
         },
         hot_limit=hot_limit,
     )
     n = F.col("__n")
     mean = F.col("__sum").cast("double") / n
-    variance = F.col("__squares").cast("double") / n - mean * mean
-    # Equal amounts have no deviation; the difference of large squares might leave a trace of one.
-    deviation = F.when(F.col("__low") == F.col("__high"), 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
+    # In whole cents: squares about a whole number next to the mean are summed exactly, so nothing cancels.
+    total = (F.col("__sum") * 100).cast("decimal(26,0)")
+    middle = F.floor(total / n).cast("decimal(14,0)")
+    rest = (total - middle * n).cast("decimal(24,0)")
+    about = (F.col("__squares") * 10000).cast("decimal(38,0)") - middle * (total + rest).cast("decimal(27,0)")
+    variance = about.cast("double") / n - F.pow(rest.cast("double") / n, F.lit(2))
+    deviation = F.sqrt(F.greatest(variance, F.lit(0.0))) / 100
     return scanned.withColumns(
         {
             "prior_count": F.coalesce(n, F.lit(0)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.prompt import DEFAULT_TEMPLATE, build_prompt
+from riskloom.operators.tables import latest
 from riskloom.schemas import BACKOFF_BASE, FAILURE_PREFIX, MAX_RETRIES, REPORT_REQUEST
 
 # Text of a report given up after n retries, followed by the error; detail of a failed report.
@@ -15,8 +16,8 @@ FAILURE_DETAIL = "Report generation failed. The LLM service may be unavailable."
 
 
 def report_queue(scored: DataFrame, known: DataFrame) -> DataFrame:
-    """Fraud rows that have neither a report nor a request in ``known``; enqueueing twice adds nothing."""
-    fraud = scored.filter(F.col("classification") == "fraud").dropDuplicates(["transaction_id"])
+    """Transactions whose latest score is fraud, without report or request in ``known``; enqueueing twice adds nothing."""
+    fraud = latest(scored).filter(F.col("classification") == "fraud")
     return fraud.join(known.select("transaction_id"), "transaction_id", "left_anti").withColumn("retry_count", F.lit(0))
 
 
@@ -123,7 +124,7 @@ def abandoned_reports(attempts: DataFrame, model_name: str, max_retries: int = M
 
 def report_status(transactions: DataFrame, reports: DataFrame) -> DataFrame:
     """Per transaction: 404 without a report, 202 while pending, else 200; failed ones with a detail."""
-    report = reports.select("transaction_id", F.col("status").alias("report_status"), "report_text")
+    report = latest(reports).select("transaction_id", F.col("status").alias("report_status"), "report_text")
     joined = transactions.select("transaction_id").join(report, "transaction_id", "left")
     status = F.col("report_status")
     return joined.withColumns(

@@ -36,6 +36,12 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 
+def latest(df: DataFrame, key: str = "transaction_id", time: str = "created_at") -> DataFrame:
+    """One row per key: the one of the latest time, ties by the other columns' greatest values."""
+    rest = sorted((name for name in df.columns if name != key), key=lambda name: name != time)
+    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__last")).select(*[key if c == key else F.col(f"__last.`{c}`") for c in df.columns])
+
+
 def live(df: DataFrame) -> DataFrame:
     return df.filter(F.col("deleted_at").isNull())
 

@@ -14,7 +14,7 @@ from riskloom.operators.audit import audit_scoring
 from riskloom.operators.context import ScoringContext, attach_context
 from riskloom.operators.forest import Forest
 from riskloom.operators.skew import SLIDING_LIMIT
-from riskloom.schemas import ALERT_OPEN, THRESHOLD_TIERS
+from riskloom.schemas import ALERT_OPEN, RULE_WEIGHTS, THRESHOLD_TIERS
 from riskloom.session import settle
 from riskloom.sources.tables import append_by_day
 
@@ -135,9 +135,7 @@ def store_scoring(scored: DataFrame, path: str) -> DataFrame:
     return stored
 
 
-def weights_from_table(rule_metadata: DataFrame, limit: int = 100) -> dict[str, float]:
-    """Active rules and their weights, read from a table of at most ``limit`` rules."""
-    rows = rule_metadata.filter(F.col("is_active")).select("name", "weight").take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} active rules")
-    return {row["name"]: float(row["weight"]) for row in rows}
+def weights_from_table(rule_metadata: DataFrame) -> dict[str, float]:
+    """The weights of active rules: one row per rule there is, the greatest weight of a name; unknown names have no rule."""
+    rows = rule_metadata.filter(F.col("is_active") & F.col("name").isin(*RULE_WEIGHTS))
+    return {row["name"]: float(row["weight"]) for row in rows.groupBy("name").agg(F.max("weight").alias("weight")).collect()}

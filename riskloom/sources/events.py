@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from riskloom.operators.history import home_country, known_cards
 from riskloom.sources.tables import read_table
 
-MERCHANTS = 10
 BLACKLIST_BALANCE = 1000
 KNOWN_CARDS_UNTIL = "2024-01-16 00:00:00"
 
@@ -59,9 +58,8 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def merchants(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten suppliers that transactions name, by key."""
-    suppliers = scan(spark, folder, "supplier").filter(F.col("s_suppkey") < MERCHANTS)
-    return suppliers.select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("merchant_name"))
+    """All suppliers by key."""
+    return scan(spark, folder, "supplier").select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("merchant_name"))
 
 
 def nations(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,8 +83,9 @@ def blacklist(spark: SparkSession, folder: str) -> DataFrame:
 def add_merchant_and_country(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Merchant name and transaction country; Spark broadcasts the lookup tables by their size."""
     abroad = nations(spark, folder).withColumnsRenamed({"nation_id": "__nation", "home_country": "__abroad"})
+    keys = scan(spark, folder, "supplier").agg(F.max("s_suppkey") + 1).scalar()
     return (
-        rows.withColumn("merchant_id", F.col("transaction_id") % MERCHANTS)
+        rows.withColumn("merchant_id", F.pmod("transaction_id", keys))
         .join(merchants(spark, folder), "merchant_id", "left")
         .join(home_countries(spark, folder), "user_id", "left")
         .join(abroad, F.col("k") % 25 == F.col("__nation"), "left")

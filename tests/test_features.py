@@ -37,17 +37,17 @@ def test_nothing_known(spark):
         ({"amount": 150, "avg": 100.0, "std": 0.0}, "amount_vs_user_std", 0.0),
         ({"n5": 4, "n60": 9}, "tx_count_last_5min", 4.0),
         ({"n5": 4, "n60": 9}, "tx_count_last_1h", 9.0),
-        ({"time": "2024-06-15T03:00:00+00:00"}, "hour_of_day", 3.0),
-        ({"time": "2024-06-15T03:00:00+00:00"}, "is_weekend", 1.0),
-        ({"time": "2024-06-16T03:00:00+00:00"}, "is_weekend", 1.0),
-        ({"time": "2024-06-17T03:00:00+00:00"}, "is_weekend", 0.0),
+        ({"time": "2031-03-08T03:00:00+00:00"}, "hour_of_day", 3.0),
+        ({"time": "2031-03-08T03:00:00+00:00"}, "is_weekend", 1.0),
+        ({"time": "2031-03-09T03:00:00+00:00"}, "is_weekend", 1.0),
+        ({"time": "2031-03-10T03:00:00+00:00"}, "is_weekend", 0.0),
         ({"time": "broken"}, "is_weekend", 0.0),
         ({"category": "Gambling"}, "merchant_risk_level", 1.0),
         ({"category": "groceries"}, "merchant_risk_level", 0.0),
         ({"category": "CRYPTOCURRENCY"}, "is_crypto", 1.0),
         ({"category": "gambling"}, "is_crypto", 0.0),
         ({"amount": 1000}, "amount_round_number", 1.0),
-        ({"amount": 1234.56}, "amount_round_number", 0.0),
+        ({"amount": 870.25}, "amount_round_number", 0.0),
         ({"amount": 0}, "amount_round_number", 0.0),
         ({"amount": -100}, "amount_round_number", 0.0),
     ],

@@ -3,6 +3,7 @@ import random
 import statistics
 from collections import defaultdict
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from conftest import rows
@@ -73,10 +74,20 @@ def test_point_in_time_history(spark, data, limit):
         before = [float(x) for x in earlier[user]]
         assert got[i]["prior_count"] == len(before)
         assert got[i]["prior_avg_amount"] == pytest.approx(statistics.fmean(before) if before else 0.0)
-        assert got[i]["prior_std_amount"] == pytest.approx(statistics.pstdev(before) if before else 0.0, abs=1e-4)
+        assert got[i]["prior_std_amount"] == pytest.approx(statistics.pstdev(before) if before else 0.0, abs=1e-9)
         earlier[user].append(amount)
 
 
+def test_deviation_of_large_amounts(spark):
+    amounts = ["9000000000.00", "9000000000.01", "9999999999.99", "-3.25"]
+    data = [(i, "u", datetime(2031, 1, 1, i), Decimal(x)) for i, x in enumerate(amounts + ["0.00"])]
+    got = point_in_time_history(spark.createDataFrame(data, "transaction_id long, user_id string, ts timestamp_ntz, amount decimal(12,2)")).collect()
+    for row in got:
+        before = [Decimal(x) for x in amounts[: row["transaction_id"]]]
+        want = float(statistics.pstdev(before)) if before else 0.0
+        assert row["prior_std_amount"] == pytest.approx(want, rel=1e-12)
+
+
 @pytest.mark.parametrize("limit", [10**6, 100, 0])
 def test_ordered_scan(spark, data, limit):
     df = spark.createDataFrame(data, SCHEMA)

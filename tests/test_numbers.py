@@ -25,7 +25,7 @@ def test_rounding_follows_the_exact_value(spark):
 
 def test_double_text(spark):
     rng = random.Random(2)
-    numbers = [0.0, -0.0, 1e-4, 1.5e-4, 9.99e-4, 1e-5, 1.25e-7, 1e7, 123456789.123, 1e15, -3.25e8, 100.0, 13.5]
+    numbers = [0.0, -0.0, 1e-4, 1.5e-4, 9.99e-4, 1e-5, 1.25e-7, 1e7, 123456789.123, 1e15, 1e16, -2.5e17, 1.25e300, -3.25e8, 100.0, 13.5]
     numbers += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 12) for _ in range(5000)]
     df = spark.createDataFrame([(x,) for x in numbers], "x double")
     for row in df.select("x", double_text(F.col("x")).alias("t")).collect():

@@ -79,8 +79,8 @@ def test_no_context_at_all(spark):
 def test_weights_from_table(spark):
     table = spark.createDataFrame([("high_amount", 50.0, True), ("unusual_hours", 9.0, False)], "name string, weight double, is_active boolean")
     assert weights_from_table(table) == {"high_amount": 50.0}
-    with pytest.raises(ValueError):
-        weights_from_table(table, limit=0)
+    many = spark.range(300).select(F.concat(F.lit("other_"), "id").alias("name"), F.lit(1.0).alias("weight"), F.lit(True).alias("is_active"))
+    assert weights_from_table(table.unionByName(many)) == {"high_amount": 50.0}
 
 
 @pytest.mark.parametrize(

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from riskloom.functions.prompt import build_prompt, fill
+from riskloom.functions.prompt import SECTIONS, build_prompt, fill
 from riskloom.operators import dashboard, reports, tables
 from riskloom.sources.tables import append, append_by_day, read_reference_sample, replace_reference_sample
 
@@ -128,17 +128,16 @@ def prompt(value, **given):
 
 
 def test_prompt(value):
-    text = prompt(value, transaction_id="t1", amount=15000.0, currency="EUR", merchant_name="Test Store", rule_score=60.25, ml_score=80.0,
-                  ensemble_score=72.0, threshold=70.0, fired=["high_amount", "high_velocity"])
-    for part in ("t1", "$15000.0 EUR", "Test Store", "Reglas: 60.2\n", "80.0", "72.0", "- high_amount\n- high_velocity\n"):
+    text = prompt(value, transaction_id="op-9", amount=81.5, currency="CLP", merchant_name="Kiosk", rule_score=33.25, ml_score=7.0,
+                  ensemble_score=18.05, threshold=60.0, fired=["unusual_hours", "card_mismatch"])
+    for part in ("id=op-9;", "importe=81.5 CLP;", "comercio=Kiosk\n", "reglas=33.2;", "anomalía=7.0;", "límite=60.0\n", "- unusual_hours\n- card_mismatch\n"):
         assert part in text
-    lower = text.lower()
-    assert all(word in lower for word in ("transacción", "justificación", "recomendación", "factores", "no emitas un veredicto"))
+    assert all(title in text for title in SECTIONS)
 
 
 def test_prompt_without_data(value):
     text = prompt(value)
-    for part in ("Transacción N/A", "$N/A USD", "Comercio: N/A", "Reglas: 0.0", "Umbral: 70.0", "- Ninguna regla activada"):
+    for part in ("id=N/A;", "importe=N/A USD;", "comercio=N/A\n", "reglas=0.0;", "límite=70.0\n", "- Ninguna regla activada"):
         assert part in text
     assert value(fill("{a}-{{x}}-{a}", {"a": F.lit("1")})) == "1-{x}-1"
 
@@ -192,3 +191,13 @@ def test_append_and_sample(spark, table, tmp_path):
     for values in ([1.0, 2.0], [3.0]):
         replace_reference_sample(spark.createDataFrame([(v,) for v in values], "x double"), sample, "x")
     assert rows(read_reference_sample(spark, sample)) == [(3.0,)]
+
+
+def test_latest_row_counts(spark):
+    schema = "transaction_id long, created_at timestamp_ntz, ensemble_score double, classification string"
+    day = [datetime(2031, 5, i) for i in range(1, 4)]
+    scores = spark.createDataFrame([(1, day[0], 90.0, "fraud"), (1, day[2], 10.0, "legitimate"), (2, day[1], 80.0, "fraud"), (2, None, 1.0, "review")], schema)
+    known = spark.createDataFrame([(1,), (2,), (3,)], "transaction_id long")
+    found = dashboard.transactions_with_score(known, scores).orderBy("transaction_id").collect()
+    assert [tuple(r) for r in found] == [(1, 10.0, "legitimate"), (2, 80.0, "fraud"), (3, None, None)]
+    assert [r["transaction_id"] for r in reports.report_queue(scores, known.limit(0)).collect()] == [2]
