@@ -20,6 +20,7 @@ from riskloom.session import settle
 WORDS, SIMILARITY, BANDS, DEPTH = 5, 0.8, 25, 5
 WORD = re.compile(r"\w+")
 GROUP = 4096
+PIVOTS, MEMBERS = 256, 4096
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -157,15 +158,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def unsettled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` of the buckets that still hold several roots, with each row's root and whether it is the bucket's commonest."""
+    if roots is None:
+        named = rows.withColumn("root", F.col("rep"))
+    else:
+        named = rows.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    per = named.groupBy("band", "root").count().groupBy("band")
+    mixed_ = per.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")
+    return named.join(mixed_, "band").select("band", "rep", "total", "n", "turn", "root", (F.col("root") == F.col("main")).alias("common"))
+
+
+def candidates(rows: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes allow ``similarity``.
+
+    Two texts of the bucket's commonest root are never put side by side. Each side is cut into blocks, so that
+    a large bucket goes to many tasks.
+    """
+    parts = F.ceil(F.least(F.lit(high + 1), F.col("n")) / PIVOTS).cast("int")
+    slices = F.ceil(F.col("n") / MEMBERS).cast("int")
+
+    def block(count):
+        return F.pmod(F.xxhash64("rep"), count).cast("int")
+
+    def each(count):
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    pivots = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
+    pivots = pivots.withColumn("part", block(parts)).withColumn("slice", each(slices))
+    pivots = pivots.select("band", "part", "slice", F.col("rep").alias("p"), F.col("total").alias("size"), F.col("root").alias("at"), F.col("common").alias("main"))
+    members = rows.withColumn("slice", block(slices)).withColumn("part", each(parts)).drop("n", "turn")
+    differ = (F.col("root") != F.col("at")) & (F.least("total", "size") >= F.lit(similarity) * F.greatest("total", "size"))
+    key = ["band", "part", "slice"]
+    met = members.where("NOT common").join(pivots, key).where(differ).unionByName(members.where("common").join(pivots.where("NOT main"), key).where(differ))
+    return met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+
+
 def classes(
     docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, depth: int = DEPTH
 ) -> DataFrame:
     """(doc_id, class_id, n_links): class_id is the least id of the class, n_links the links verified at the row's text.
 
     Equal texts (by their words in order) are one text with its least id as ``rep``. In a bucket of a band every text
-    is compared with the bucket's least rep, so a bucket of n texts gives n-1 pairs; those not in the
-    class of that rep by then, by whatever links, meet again under more reps of their own, until each is
-    in such a class or has been one. n_links counts the links so found, not all pairs of a class.
+    is compared with the bucket's least rep, then with four, sixteen, ... more of its texts, placed or not. A pair
+    is left out only once both texts have the same root, and a bucket is done when all have or every pair has had
+    its turn. n_links counts the links so found, not all pairs of a class.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     digest = F.sha2("text", 256)
@@ -174,31 +211,27 @@ def classes(
     reps = settle(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     texts = source.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").where(digest == F.col("digest"))
     texts = settle(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]))
-    rows = settle(banded(texts, bands, depth))
+    rows = banded(texts, bands, depth)
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+    # The least rep of a bucket is its first pivot, the others take their turn by a draw between 0 and the bucket's size.
+    turn = F.when(F.col("rep") == F.col("least"), -1.0).otherwise(F.pmod(F.xxhash64("rep"), F.lit(1 << 31)) / float(1 << 31) * F.col("n"))
+    rows = settle(settle(rows).join(shared, "band").select("band", "rep", "total", "n", turn.alias("turn")))
     links = roots = tried = None
-    spread = 1
+    low, high = -1, 0
     while True:
-        part = F.pmod(F.xxhash64("rep"), F.lit(spread))
-        # The least rep of each of `spread` parts of a bucket; the first round has one, each later one four times more.
-        chosen = rows.groupBy("band", part.alias("part")).agg(F.min(F.struct("rep", "total")).alias("p"))
-        shared = settle(rows.groupBy("band").count().where("count > 1").select("band"))
-        if not shared.limit(1).count():
+        open_rows = settle(unsettled(rows, roots))
+        if not open_rows.limit(1).count():
             break
-        pivots = settle(chosen.join(shared, "band").select("band", F.col("p.rep").alias("a"), F.col("p.total").alias("size")))
-        members = rows.join(pivots, "band").where("rep <> a")
-        fits = F.least("total", "size") >= F.lit(similarity) * F.greatest("total", "size")
-        pairs = members.where(fits).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        pairs = settle(candidates(open_rows, low, high, similarity))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
+            pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         found = settle(verified(pairs, texts, similarity))
         links = found if links is None else settle(links.union(found))
         roots = components(links)
-        known = members.join(roots, "rep", "left").join(roots.select(F.col("rep").alias("a"), F.col("root").alias("at")), "a", "left")
-        placed = known.where("root = at").select("rep", "band").union(pivots.select(F.col("a").alias("rep"), "band")).distinct()
-        rows = settle(rows.join(shared, "band", "left_semi").join(placed, ["rep", "band"], "left_anti"))
-        spread *= 4
+        # A bucket all of whose texts have been pivots is done; rows of one root alone are never compared.
+        rows = open_rows.where(F.col("n") > high).select("band", "rep", "total", "n", "turn")
+        low, high = high, max(4, 4 * high)
     if links is None:
         links = rows.sparkSession.createDataFrame([], "a long, b long")
         roots = rows.sparkSession.createDataFrame([], "rep long, root long")

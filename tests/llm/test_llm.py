@@ -1,6 +1,7 @@
 """Operators for training data: brute force, round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -123,6 +124,26 @@ def test_near_classes_against_all_pairs(spark, folder, documents):
     assert got == root
 
 
+def test_near_classes_of_a_large_drifting_group_against_all_pairs(spark):
+    """Copies of copies: most lie far from any pivot, and the one link of a text may be to a text placed long ago."""
+    rng = random.Random(3)
+    group = [[f"w{rng.randrange(3000)}" for _ in range(120)]]
+    for _ in range(599):
+        words = list(group[rng.randrange(len(group))])
+        for _ in range(rng.choice((1, 2, 2, 3))):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        group.append(words)
+    texts = [" ".join(words) for words in group]
+    bags, root = [near.bag(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near.overlap(bags[i], bags[j]) >= near.SIMILARITY:
+                low, high = sorted((root[i], root[j]))
+                root = [low if v == high else v for v in root]
+    got = {r["doc_id"]: r["class_id"] for r in near.classes(table(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "a<[\\b", 0.2), ("t", 3, 1, "assistant", None, 0.9), ("t", 4, 3, "user", "[INST]\n", 1.0), ("t", 8, 9, None, "x", 0.0)]
     rows += [("c", 1, 2, "user", "round", 1.0), ("c", 2, 1, "user", "round", 1.0)]
