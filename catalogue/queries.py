@@ -860,18 +860,20 @@ def stream_velocity(spark, folder):
 
 @query
 def stream_kpis(spark, folder):
-    """Daily windows that the watermark has closed."""
-    stream = _event_stream(spark, folder)
-    rows = stream.select(
-        "ts",
-        F.when(F.col("event_type") == "error", "fraud").otherwise("legitimate").alias("classification"),
-        F.col("value").alias("ensemble_score"),
-    )
-    kpis = jobs.window_kpis(rows, width="1 day", delay="1 hour")
+    """Daily windows: those the watermark has closed, and those still open at the end of the input."""
+
+    def rated(events):
+        return events.select(
+            "ts",
+            F.when(F.col("event_type") == "error", "fraud").otherwise("legitimate").alias("classification"),
+            F.col("value").alias("ensemble_score"),
+        )
+
+    kpis = jobs.window_kpis(rated(_event_stream(spark, folder)), width="1 day", delay="1 hour")
     path = new_folder(spark, "stream-kpis")
     writer = kpis.writeStream.outputMode("append").format("parquet").option("path", path)
     jobs.run_to_end(writer.option("checkpointLocation", new_folder(spark, "stream-checkpoint")))
-    back = spark.read.parquet(path)
+    back = jobs.with_open_windows(spark.read.parquet(path), rated(source.scan(spark, folder, "events")), width="1 day")
     return back.select("window_start", "window_end", "n_transactions", "n_fraud", round_exact(F.col("avg_score"), 4).alias("avg_score"))
 
 

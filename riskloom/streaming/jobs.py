@@ -154,6 +154,16 @@ def window_kpis(
     )
 
 
+def with_open_windows(closed: DataFrame, rows: DataFrame, *, ts: str = "ts", width: str = "1 hour") -> DataFrame:
+    """The windows written by a bounded run of ``window_kpis`` and, counted from ``rows``, its input as a batch, those still open.
+
+    Open windows are not written: a later run from the same checkpoint closes them with the rows still to come.
+    """
+    last = F.broadcast(closed.agg(F.max("window_end").alias("__last")))
+    rest = rows.crossJoin(last).filter(F.col("__last").isNull() | (F.col(ts) >= F.col("__last"))).drop("__last")
+    return closed.unionByName(window_kpis(rest, ts=ts, width=width))
+
+
 def unique_requests(stream: DataFrame, *, ts: str = "ts", row_id: str = "transaction_id", delay: str = "1 hour") -> DataFrame:
     """Each request once; repeats within ``delay`` are dropped and the state is bounded by it."""
     timed, back = _event_time(stream, ts)

@@ -3,6 +3,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from catalogue.queries import QUERIES
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -110,6 +111,25 @@ def test_window_kpis(spark, files, tmp_path):
     ]
 
 
+def test_window_kpis_with_the_windows_still_open(spark, files, tmp_path):
+    def rated(df):
+        return df.select("ts", F.lit("fraud").alias("classification"), F.lit(2.0).alias("ensemble_score"))
+
+    path = f"{tmp_path}/k"
+    writer = jobs.window_kpis(rated(stream(spark, files)), width="1 hour", delay="5 minutes").writeStream.format("parquet").option("path", path)
+    jobs.run_to_end(writer.option("checkpointLocation", f"{tmp_path}/cp"))
+    whole = jobs.with_open_windows(spark.read.parquet(path), rated(spark.read.parquet(files)), width="1 hour")
+    # 300 rows 40 s apart: 90 in each of three closed hours, 30 in the open fourth.
+    assert rows(whole, "window_start", "n_transactions") == [(START + timedelta(hours=h), n) for h, n in enumerate((90, 90, 90, 30))]
+
+
+def test_stream_kpis_has_every_day(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    want = rows(events.groupBy(F.to_date("ts").alias("d")).count())
+    got = QUERIES["stream_kpis"](spark, folder)
+    assert rows(got.select(F.to_date("window_start").alias("d"), "n_transactions")) == want
+
+
 def test_unique_requests(spark, tmp_path):
     path = f"{tmp_path}/in"
     for part in ([0, 1, 2, 3], [2, 3, 4], [4, 5]):
