@@ -31,9 +31,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; rows without an id stay."""
-    gone = near.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each class of near copies, by id and text; rows without an id stay."""
+    gone = near.assigned(docs).where("doc_id <> class_id OR digest <> class_digest").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha")).distinct()
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(gone, (docs["doc_id"] == F.col("_id")) & (digest == F.col("_sha")), "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

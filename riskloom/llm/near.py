@@ -197,20 +197,28 @@ def candidates(rows: DataFrame, low: int, high: int, similarity: float) -> DataF
 def classes(
     docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, depth: int = DEPTH
 ) -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the least id of the class, n_links the links verified at the row's text.
+    """(doc_id, class_id, n_links): class_id is the least id of the class, n_links the links verified at the row's text."""
+    return assigned(docs, text, key, similarity, bands, depth).select("doc_id", "class_id", "n_links")
 
-    Equal texts (by their words in order) are one text with its least id as ``rep``. In a bucket of a band every text
-    is compared with the bucket's least rep, then with four, sixteen, ... more of its texts, placed or not. A pair
-    is left out only once both texts have the same root, and a bucket is done when all have or every pair has had
-    its turn. n_links counts the links so found, not all pairs of a class.
+
+def assigned(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, depth: int = DEPTH
+) -> DataFrame:
+    """(doc_id, digest, class_id, class_digest, n_links): the class of every row as its least id, and that id's least digest.
+
+    Equal texts (by their words in order) are one text, with a number of its own as ``rep``, so that texts which share
+    an id stay apart. In a bucket of a band every text is compared with the bucket's least rep, then with four, sixteen,
+    ... more of its texts, placed or not. A pair is left out only once both texts have the same root, and a bucket is
+    done when all have or every pair has had its turn. n_links counts the links so found, not all pairs of a class.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     digest = F.sha2("text", 256)
     keyed = source.select("doc_id", digest.alias("digest"))
     # Partial aggregation leaves one narrow row per text and task, also for a text that a third of the rows share.
-    reps = settle(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    texts = source.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").where(digest == F.col("digest"))
-    texts = settle(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]))
+    least = settle(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    reps = settle(least.withColumn("rep", F.monotonically_increasing_id()))
+    texts = source.withColumn("digest", digest).join(reps, ["doc_id", "digest"])
+    texts = settle(texts.select("rep", "text").dropDuplicates(["rep"]))
     rows = banded(texts, bands, depth)
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
     # The least rep of a bucket is its first pivot, the others take their turn by a draw between 0 and the bucket's size.
@@ -237,9 +245,15 @@ def classes(
         roots = rows.sparkSession.createDataFrame([], "rep long, root long")
     links = links.distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = reps.join(roots, "rep", "left").join(degree, "rep", "left")
-    known = settle(known.select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    return attach(keyed, known, F.sha2(F.lit(""), 256))
+    known = reps.join(roots, "rep", "left").join(degree, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    first = known.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    known = known.join(first, "root").select(
+        "digest",
+        F.col("first.doc_id").alias("class_id"),
+        F.col("first.digest").alias("class_digest"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+    return attach(keyed, settle(known), F.sha2(F.lit(""), 256))
 
 
 def attach(keyed: DataFrame, known: DataFrame, empty) -> DataFrame:
@@ -250,4 +264,5 @@ def attach(keyed: DataFrame, known: DataFrame, empty) -> DataFrame:
     rest = keyed.join(F.broadcast(hot), "digest", "left_anti").join(known, "digest")
     all_rows = keyed.join(hot_known, "digest").unionByName(rest)
     own = F.col("digest") == empty
-    return all_rows.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
+    class_id = F.when(own, F.col("doc_id")).otherwise(F.col("class_id"))
+    return all_rows.select("doc_id", "digest", class_id.alias("class_id"), "class_digest", "n_links")

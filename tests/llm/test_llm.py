@@ -144,6 +144,17 @@ def test_near_classes_of_a_large_drifting_group_against_all_pairs(spark):
     assert got == dict(enumerate(root))
 
 
+def test_near_copies_of_texts_that_share_an_id(spark, folder):
+    import corpus_pipeline
+
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    docs = table(spark, [(7, words[0]), (7, words[1]), (7, words[2]), (8, words[0] + " x"), (9, words[1] + " x"), (3, words[2] + " x")])
+    links = sorted((r["doc_id"], r["n_links"]) for r in near.classes(docs).collect())
+    assert links == [(3, 1), (7, 1), (7, 1), (7, 1), (8, 1), (9, 1)]
+    kept = corpus_pipeline.near_copies(spark, docs, folder)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, words[2] + " x"), (7, words[0]), (7, words[1])]
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "a<[\\b", 0.2), ("t", 3, 1, "assistant", None, 0.9), ("t", 4, 3, "user", "[INST]\n", 1.0), ("t", 8, 9, None, "x", 0.0)]
     rows += [("c", 1, 2, "user", "round", 1.0), ("c", 2, 1, "user", "round", 1.0)]
