@@ -184,9 +184,11 @@ def _event_time(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[Column
     return timed, lambda column: F.to_utc_timestamp(column, zone).cast("timestamp_ntz")
 
 
-def run_to_end(writer: DataStreamWriter, timeout: int = 600) -> None:
-    """Process what is there now, then stop."""
+def run_to_end(writer: DataStreamWriter, timeout: float | None = None) -> None:
+    """Process what is there now, then stop; a caller may limit the seconds."""
     query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not finish in {timeout} s")

@@ -130,6 +130,32 @@ def test_stream_kpis_has_every_day(spark, folder):
     assert rows(got.select(F.to_date("window_start").alias("d"), "n_transactions")) == want
 
 
+def test_run_to_end_has_no_limit_of_its_own():
+    class Slow:
+        """A writer and its query in one; a limited wait always ends too early."""
+
+        stopped = False
+
+        def trigger(self, availableNow):
+            return self
+
+        def start(self):
+            return self
+
+        def awaitTermination(self, timeout=None):
+            return None if timeout is None else False
+
+        def stop(self):
+            self.stopped = True
+
+    slow = Slow()
+    jobs.run_to_end(slow)
+    assert not slow.stopped
+    with pytest.raises(TimeoutError):
+        jobs.run_to_end(slow, timeout=5)
+    assert slow.stopped
+
+
 def test_unique_requests(spark, tmp_path):
     path = f"{tmp_path}/in"
     for part in ([0, 1, 2, 3], [2, 3, 4], [4, 5]):
