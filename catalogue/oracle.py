@@ -592,13 +592,29 @@ ORACLE = {
     "stream_velocity": _sql("ctx", "SELECT transaction_id, n_1h, n_12h FROM ctx"),
     "stream_kpis": f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY
     AS window_end, count(*) AS n_transactions, count(*) FILTER (WHERE event_type = 'error') AS n_fraud,
-  {_exact('avg(value)', 4)} AS avg_score FROM events GROUP BY 1, 2
-  HAVING window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+  {_exact('avg(value)', 4)} AS avg_score FROM events GROUP BY 1, 2""",
     "stream_unique_requests": "SELECT event_id AS transaction_id FROM events",
 }
 
 ORACLE["audit_export_json"] = ORACLE["audit_export"]
 
+# Streams that say what a batch query says.
+for _stream, _batch in (
+    ("stream_velocity_by_batch", "stream_velocity"),
+    ("stream_scored_transactions", "scored_transactions"),
+    ("stored_twice", "appended_tables"),
+    ("stream_report_queue", "report_queue"),
+    ("stream_requests", "report_requests"),
+    ("stream_request_rejects", "report_request_rejects"),
+    ("stream_alert_fold", "alert_fold"),
+    ("stream_alert_illegal", "alert_illegal"),
+):
+    ORACLE[_stream] = ORACLE[_batch]
+ORACLE["stream_retries"] = """SELECT event_id AS transaction_id, CASE WHEN event_id % 5 >= 3 THEN 'failed' ELSE 'retry' END AS outcome,
+  CAST(event_id % 5 + CASE WHEN event_id % 5 < 3 THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
+  ts + CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 9 WHEN 2 THEN 27 ELSE 0 END * INTERVAL 1 SECOND AS at,
+  'timeout ' || (event_id % 3) AS error FROM events"""
+
 # A stream without counts: the velocity rule stays silent, all else is as in the batch query.
 PARTS["silent"] = "silent AS (SELECT * REPLACE (false AS high_velocity) FROM flags)"
 PARTS["sscored"] = PARTS["scored"].replace("scored AS (", "sscored AS (", 1).replace("FROM flags)", "FROM silent)")

@@ -25,13 +25,16 @@ from riskloom.operators import alerts as alert_ops
 from riskloom.operators import audit, dashboard, drift, forest, history, metrics, reports, tables
 from riskloom.operators.context import mark_blacklisted
 from riskloom.plans import training
-from riskloom.plans.scoring import alerts_from_scores, flags_of, score_transactions, scores_of, weights_from_table
+from riskloom.plans.scoring import alerts_from_scores, flags_of, score_transactions, scores_of, store_scoring, weights_from_table
 from riskloom.schemas import FEATURE_NAMES
 from riskloom.session import new_folder, settle
 from riskloom.sources import events as source
 from riskloom.sources import synthetic
 from riskloom.sources import tables as io
+from riskloom.streaming import alerts as alert_streams
 from riskloom.streaming import jobs
+from riskloom.streaming import reports as report_streams
+from riskloom.streaming.velocity import keyed_velocity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -843,21 +846,154 @@ def stream_scores(spark, folder):
     )
 
 
+def _in_thirds(rows, ts, folder):
+    """Runs of a stream over ``rows``, by time: each third is added to ``folder`` and yields; rows without a time come first."""
+    low, high = rows.agg(F.min(ts), F.max(ts)).first()
+    bounds = [low + (high - low) * i / 3 for i in (1, 2)] if low else []
+    third = sum((F.coalesce(F.col(ts) >= F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    for i in range(3):
+        rows.filter(third == i).write.mode("append").parquet(folder)
+        yield jobs.read_stream(rows.sparkSession, folder, rows.schema, "*.parquet")
+
+
+def _stream_folders(spark, name):
+    return tuple(new_folder(spark, f"{kind}-{name}") for kind in ("input", "output", "checkpoint"))
+
+
 @query
 def stream_velocity(spark, folder):
-    """Trailing counts written by a stream that gets the table in three runs, by time; rows without a time come first."""
-    parts, path, checkpoint = (new_folder(spark, name) for name in ("stream-input", "stream-velocity", "stream-checkpoint"))
+    """Trailing counts by keyed state of a stream that gets the table in three runs."""
+    parts, path, checkpoint = _stream_folders(spark, "velocity")
     rows = _base(spark, folder).select("transaction_id", "user_id", "ts")
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    bounds = [low + (high - low) * i / 3 for i in (1, 2)] if low else []
-    third = sum((F.coalesce(F.col("ts") >= F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
-    for i in range(3):
-        rows.filter(third == i).write.mode("append").parquet(parts)
-        stream = jobs.read_stream(spark, parts, rows.schema, "*.parquet")
+    for stream in _in_thirds(rows, "ts", parts):
+        counted = keyed_velocity(stream, {"n_1h": 3600, "n_12h": 12 * 3600})
+        jobs.run_to_end(counted.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+    return spark.read.parquet(path).select("transaction_id", "n_1h", "n_12h")
+
+
+@query
+def stream_velocity_by_batch(spark, folder):
+    """The same counts from a sink whose table is the state."""
+    parts, path, checkpoint = _stream_folders(spark, "velocity-sink")
+    rows = _base(spark, folder).select("transaction_id", "user_id", "ts")
+    for stream in _in_thirds(rows, "ts", parts):
         jobs.run_to_end(jobs.velocity_sink(stream, path, checkpoint, {"n_1h": 3600, "n_12h": 12 * 3600}))
     return jobs.read_sink(spark, path).select("transaction_id", "n_1h", "n_12h")
 
 
+@query
+def stream_scored_transactions(spark, folder):
+    """Scores with all six rules from one stream, whose counts are keyed state, in three runs."""
+    parts, path, checkpoint = _stream_folders(spark, "scoring")
+    context = t.context(spark, folder).settled()
+    for stream in _in_thirds(t.transactions(spark, folder), "ts", parts):
+        scored = jobs.score_stream(stream, context, weights=t.RULE_ONLY, windows=t.WINDOWS, recent=t.BURST)
+        jobs.run_to_end(scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+    return _flat(spark.read.parquet(path))
+
+
+@query
+def stored_twice(spark, folder):
+    """Score tables of one batch stored twice and of a stream, read by one reader: days, classes and rows."""
+    path = new_folder(spark, "store")
+    rows = settle(t.scored(spark, folder))
+    early, late = rows.filter(F.col("created_at") < t.split_day()), rows.filter(F.col("created_at") >= t.split_day())
+    for _ in range(2):
+        store_scoring(early, path)
+    late = settle(late)
+    for _ in range(2):  # a stream that has lost its checkpoint repeats its batches
+        stream = jobs.read_stream(spark, late.inputFiles()[0].rsplit("/", 1)[0], late.schema, "*.parquet")
+        jobs.run_to_end(jobs.scoring_sink(stream, path, new_folder(spark, "checkpoint")))
+    back = io.read_store(spark, f"{path}/scores")
+    return back.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "classification").agg(F.count(F.lit(1)).alias("n_scores"))
+
+
+@query
+def stream_report_queue(spark, folder):
+    """Requests of a scored stream that comes twice, the second time from a new checkpoint."""
+    rows = settle(t.scored(spark, folder))
+    path, known = new_folder(spark, "requests"), settle(t.reports_of(rows))
+    for _ in range(2):
+        stream = jobs.read_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema, "*.parquet")
+        jobs.run_to_end(report_streams.enqueue_sink(stream, path, new_folder(spark, "checkpoint"), lambda: known))
+    asked = io.read_store(spark, path, "transaction_id long, ensemble_score double, fired_rules array<string>, amount decimal(12,2), merchant_name string, retry_count int")
+    amount = F.col("amount").cast("double").alias("amount")
+    return asked.select("transaction_id", "ensemble_score", _joined("fired_rules").alias("fired_rules"), amount, "merchant_name", "retry_count")
+
+
+def _streamed_requests(spark, folder):
+    """The folder of requests and rejects of a stream of messages that comes twice."""
+    parts, path, _ = _stream_folders(spark, "messages")
+    lines = _lines(spark, folder)
+    lines.write.parquet(parts)
+    for _ in range(2):
+        stream = jobs.read_stream(spark, parts, lines.schema, "*.parquet")
+        jobs.run_to_end(report_streams.request_sink(stream, path, new_folder(spark, "checkpoint")))
+    return path
+
+
+@query
+def stream_requests(spark, folder):
+    requests = io.read_store(spark, f"{_streamed_requests(spark, folder)}/requests")
+    return requests.select("event_id", "transaction_id", "retry_count", F.col("score_breakdown.rule_score").alias("rule_score"))
+
+
+@query
+def stream_request_rejects(spark, folder):
+    return io.read_store(spark, f"{_streamed_requests(spark, folder)}/rejects").select("event_id", "value")
+
+
+@query
+def stream_retries(spark, folder):
+    """What becomes of failed attempts, by timers of a replay's clock; a last row without id moves it past the last timer."""
+    parts, path, checkpoint = _stream_folders(spark, "retries")
+    attempts = _base(spark, folder).select(
+        "transaction_id",
+        (F.col("transaction_id") % 5).cast("int").alias("retry_count"),
+        F.concat(F.lit("timeout "), F.col("transaction_id") % 3).alias("error"),
+        F.col("ts").alias("failed_at"),
+    )
+    end = attempts.agg((F.max("failed_at") + F.expr("INTERVAL 1 HOUR")).alias("failed_at"))
+    for rows in (attempts, end.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in attempts.schema.fields[:-1]], "failed_at")):
+        rows.write.mode("append").parquet(parts)
+        stream = jobs.read_stream(spark, parts, attempts.schema, "*.parquet")
+        found = report_streams.retry_timers(stream, event_clock=True)
+        jobs.run_to_end(found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+    return spark.read.parquet(path)
+
+
+def _streamed_actions(spark, folder):
+    """(alerts, folder) of the state machine's tables over actions that come in any order, in three runs and a last row for the clock."""
+    parts, path, checkpoint = _stream_folders(spark, "actions")
+    table = settle(t.alerts(spark, folder))
+    actions = settle(t.actions(table))
+    end = actions.agg((F.max("acted_at") + F.expr("INTERVAL 90 DAY")).alias("acted_at"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in actions.schema.fields if f.name != "acted_at"]
+    runs = [actions.filter(F.pmod(F.xxhash64("action_id"), F.lit(3)) == i) for i in range(3)] + [end.select(*nothing, "acted_at")]
+    for rows in runs:
+        rows.select(*actions.columns).write.mode("append").parquet(parts)
+        stream = jobs.read_stream(spark, parts, actions.schema, "*.parquet")
+        moved = alert_streams.alert_transitions(stream, table, late="60 days")
+        jobs.run_to_end(alert_streams.alert_sink(moved, path, checkpoint))
+    return table, path
+
+
+_TRANSITIONS = "alert_id string, action_id string, action string, analyst_id string, acted_at timestamp_ntz, new_status string, problems array<string>"
+
+
+@query
+def stream_alert_fold(spark, folder):
+    table, path = _streamed_actions(spark, folder)
+    moved = io.read_store(spark, f"{path}/transitions", _TRANSITIONS)
+    return alert_streams.current_alerts(table, moved).select("alert_id", "status", "reviewed_by", "reviewed_at")
+
+
+@query
+def stream_alert_illegal(spark, folder):
+    _, path = _streamed_actions(spark, folder)
+    return io.read_store(spark, f"{path}/illegal", _TRANSITIONS).select("action_id", _joined("problems").alias("problems"))
+
+
 @query
 def stream_kpis(spark, folder):
     """Daily windows: those the watermark has closed, and those still open at the end of the input."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import round_exact
 from riskloom.operators.drift import latest_status
-from riskloom.operators.tables import latest
+from riskloom.operators.tables import latest, within
 from riskloom.schemas import ALERT_OPEN, HISTOGRAM_BUCKETS
 
 
@@ -70,7 +70,7 @@ def score_trend(
     """
     moment = F.lit(now).cast("timestamp_ntz")
     first, last = F.date_sub(F.to_date(moment), days - 1), F.to_date(moment)
-    counted = scores.filter((F.col(score) != 0) & (F.col(time) >= moment - F.expr(f"INTERVAL '{int(days)}' DAY")))
+    counted = within(scores, moment - F.expr(f"INTERVAL '{int(days)}' DAY"), None, time).filter(F.col(score) != 0)
     daily = counted.groupBy(F.to_date(time).alias("date")).agg(F.avg(score).alias("mean"))
     calendar = scores.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
     rounded = F.floor(F.col("mean") * 10 + 0.5) / 10

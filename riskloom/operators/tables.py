@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from riskloom.schemas import MAX_PAGE_SIZE
 
@@ -54,11 +55,19 @@ def soft_delete(df: DataFrame, ids: DataFrame, now, row_id: str = "transaction_i
     return df.join(marked, row_id, "left").withColumn("deleted_at", stamped).select(*df.columns)
 
 
-def _period(df: DataFrame, date_from, date_to) -> DataFrame:
-    if date_from is not None:
-        df = df.filter(F.col("created_at") >= F.lit(date_from).cast("timestamp_ntz"))
-    if date_to is not None:
-        df = df.filter(F.col("created_at") <= F.lit(date_to).cast("timestamp_ntz"))
+def within(df: DataFrame, start, end, time: str = "created_at") -> DataFrame:
+    """Rows with ``start <= time <= end``, None for an open end.
+
+    A date column ``day`` is the day of ``time``, as the stores write it: bounds on it let a reader open only these days.
+    """
+    by_day = "day" in df.columns and df.schema["day"].dataType == DateType()
+    for bound, after in ((start, True), (end, False)):
+        if bound is not None:
+            moment = F.lit(bound).cast("timestamp_ntz")
+            day = F.to_date(moment)
+            df = df.filter(F.col(time) >= moment if after else F.col(time) <= moment)
+            if by_day:
+                df = df.filter(F.col("day") >= day if after else F.col("day") <= day)
     return df
 
 
@@ -69,13 +78,13 @@ def filter_transactions(df: DataFrame, *, status=None, user_id=None, date_from=N
         df = df.filter(F.col("status") == status)
     if user_id is not None:
         df = df.filter(F.col("user_id") == user_id)
-    return _period(df, date_from, date_to)
+    return within(df, date_from, date_to)
 
 
 def filter_alerts(df: DataFrame, *, status=None, date_from=None, date_to=None) -> DataFrame:
     if status is not None:
         df = df.filter(F.col("status") == status)
-    return _period(df, date_from, date_to)
+    return within(df, date_from, date_to)
 
 
 def get_by_id(df: DataFrame, value, row_id: str = "transaction_id") -> DataFrame:

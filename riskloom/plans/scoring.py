@@ -16,7 +16,7 @@ from riskloom.operators.forest import Forest
 from riskloom.operators.skew import SLIDING_LIMIT
 from riskloom.schemas import ALERT_OPEN, RULE_WEIGHTS, THRESHOLD_TIERS
 from riskloom.session import settle
-from riskloom.sources.tables import append_by_day
+from riskloom.sources.tables import batch_name, store_batch
 
 SCORE_COLUMNS = ("rule_score", "ml_score", "ensemble_score", "threshold", "classification", "fired_rules")
 
@@ -123,18 +123,24 @@ def alerts_from_scores(scored: DataFrame) -> DataFrame:
     )
 
 
-def store_scoring(scored: DataFrame, path: str) -> DataFrame:
-    """Append scores, alerts and audit entries of a scored batch below ``path``; returns the stored batch.
+def store_scoring(scored: DataFrame, path: str, batch_id: str | None = None) -> DataFrame:
+    """Scores, alerts and audit entries of a scored batch, each a batch of its table below ``path``; returns the stored rows.
 
+    Storing a batch again replaces it. Without a ``batch_id`` its transactions and their times make its name.
     The batch is computed once, into a table of its own, and the three tables are projections of that.
     """
     stored = settle(scored)
-    append_by_day(scores_of(stored), f"{path}/scores")
-    append_by_day(alerts_from_scores(stored), f"{path}/alerts")
-    append_by_day(audit_scoring(stored), f"{path}/audit")
+    store_tables(stored, path, batch_id or batch_name(stored, "transaction_id", "created_at"))
     return stored
 
 
+def store_tables(stored: DataFrame, path: str, batch_id: str) -> None:
+    """The three projections of a scored batch that is read more than once."""
+    store_batch(scores_of(stored), f"{path}/scores", batch_id)
+    store_batch(alerts_from_scores(stored), f"{path}/alerts", batch_id)
+    store_batch(audit_scoring(stored), f"{path}/audit", batch_id)
+
+
 def weights_from_table(rule_metadata: DataFrame) -> dict[str, float]:
     """The weights of active rules: one row per rule there is, the greatest weight of a name; unknown names have no rule."""
     rows = rule_metadata.filter(F.col("is_active") & F.col("name").isin(*RULE_WEIGHTS))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.functions.clock import parse_wall_clock
+from riskloom.operators.tables import within
 from riskloom.schemas import AUDIT_ENTRIES, TRAINING_CSV
 
 
@@ -44,6 +47,37 @@ def append_by_day(df: DataFrame, path: str, time: str = "created_at") -> None:
     append(df.withColumn("day", F.to_date(time)), path, ("day",))
 
 
+def store_batch(df: DataFrame, path: str, batch_id: str, time: str | None = "created_at") -> None:
+    """One batch of a table in folders ``batch_id=…/day=…`` (no days without a ``time``).
+
+    Storing the batch again replaces all of it, days that have become empty included. Batch jobs and streams share this
+    layout, so one reader reads both, and time-bounded reads open only their days.
+    """
+    if time is not None:
+        df = df.withColumn("day", F.to_date(time))
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if time is not None:
+        writer = writer.partitionBy("day")
+    writer.parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_store(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame | None:
+    """All batches of a table; None if there is none yet. With a ``schema`` a table of empty batches can be read as well."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def batch_name(df: DataFrame, *columns: str) -> str:
+    """A name for a batch of rows that only depends on these columns' values, in any order of rows."""
+    row = df.agg(F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).first()
+    return f"batch-{row['n']}-{int(row['sum'] or 0) % 2**64:016x}"
+
+
 def replace_reference_sample(df: DataFrame, path: str, value: str = "value") -> None:
     """Replace the drift baseline by the numbers in ``df``."""
     df.select(F.col(value).cast("double").alias("value")).write.mode("overwrite").parquet(path)
@@ -72,5 +106,4 @@ def read_audit_export(spark: SparkSession, path: str, fmt: str = "json") -> Data
 
 def audit_between(df: DataFrame, start, end) -> DataFrame:
     """Audit entries with ``start <= created_at <= end``, oldest first."""
-    inside = F.col("created_at").between(F.lit(start), F.lit(end))
-    return df.filter(inside).orderBy("created_at", "sha256_checksum")
+    return within(df, start, end).orderBy("created_at", "sha256_checksum")

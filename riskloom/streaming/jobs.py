@@ -1,26 +1,30 @@
 """Streaming scoring, velocity, KPIs, sinks and de-duplication.
 
-Stateless parts reuse the batch Columns; what needs more than a row is written per micro-batch into
+Row-wise parts reuse the batch Columns, counts come from keyed state; every micro-batch is written into
 a folder of its own, so that a repeated batch replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import StructType
 
-from riskloom.operators.audit import audit_scoring
-from riskloom.operators.context import ScoringContext, join_user_context, mark_blacklisted
+from riskloom.functions.ensemble import ml_score
+from riskloom.operators.context import VELOCITY_WINDOWS, ScoringContext, join_user_context, mark_blacklisted
+from riskloom.operators.forest import Forest
 from riskloom.operators.history import velocity
 from riskloom.operators.skew import SLIDING_LIMIT
-from riskloom.plans.scoring import alerts_from_scores, flags_of, score_columns, scores_of
+from riskloom.plans.scoring import SCORE_COLUMNS, features_of, flags_of, score_columns, store_tables
 from riskloom.schemas import THRESHOLD_TIERS, WINDOW_1H, WINDOW_5MIN
+from riskloom.sources.tables import store_batch
+from riskloom.streaming.clock import event_time
+from riskloom.streaming.velocity import keyed_velocity
 
 RECENT = "tx_count_last_5min"
 
@@ -40,23 +44,35 @@ def score_stream(
     weights: Mapping[str, float] | None = None,
     rule_weights: Mapping[str, float] | None = None,
     ml: Column | None = None,
+    model: Forest | None = None,
+    windows: Mapping[str, int] | None = None,
+    recent: str = RECENT,
+    clock: str | None = None,
+    late: int = 3600,
 ) -> DataFrame:
-    """Row-wise scoring of a stream against static context tables.
+    """Scoring of a stream against context tables, which ``context.settled()`` has best written once.
 
-    The velocity rule fires only if the stream brings the counts along (see ``velocity_sink``).
+    With ``windows`` each row is counted in keyed state (``keyed_velocity``, with ``clock`` and ``late``), and the velocity
+    rule looks at ``recent``; without, it fires only if the stream brings the counts along. A ``model`` scores the
+    same features as in batch jobs, ``ml`` is any other anomaly score.
     """
-    kept = [name for name in stream.columns if name != "status"]
+    kept = [name for name in stream.columns if name not in ("status", *SCORE_COLUMNS)]
+    if windows is not None:
+        stream = keyed_velocity(stream, windows, clock=clock, late=late)
     rows = join_user_context(mark_blacklisted(stream, context.blacklist), context)
-    if RECENT not in rows.columns:
-        rows = rows.withColumn(RECENT, F.lit(None).cast("long"))
+    absent = [name for name in {*VELOCITY_WINDOWS, recent} if name not in rows.columns]
+    rows = rows.withColumns({name: F.lit(None).cast("long") for name in absent})
+    if model is not None:
+        rows = model.add_decision(rows, list(features_of().values()))
+        ml = ml_score(F.col("decision"))
     ml = F.lit(0.0) if ml is None else ml
-    added = score_columns(flags_of(), ml, weights, rule_weights, THRESHOLD_TIERS, False, None)
+    added = score_columns(flags_of(recent), ml, weights, rule_weights, THRESHOLD_TIERS, False, None)
     return rows.select(*kept, *[column.alias(name) for name, column in added.items()])
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """One folder per batch: running the batch again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    store_batch(df, path, f"stream-{batch_id}")
 
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
@@ -64,14 +80,12 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scoring_sink(scored: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Scores, alerts and audit entries of a scored stream, each its own append-only table below ``path``."""
+    """Scores, alerts and audit entries of a scored stream, in the tables below ``path`` that ``store_scoring`` writes too."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            _write_batch(scores_of(batch), f"{path}/scores", batch_id)
-            _write_batch(alerts_from_scores(batch), f"{path}/alerts", batch_id)
-            _write_batch(audit_scoring(batch), f"{path}/audit", batch_id)
+            store_tables(batch, path, f"stream-{batch_id}")
         finally:
             batch.unpersist()
 
@@ -139,7 +153,7 @@ def window_kpis(
 
     Windows close, and are written in append mode, once the watermark has passed them.
     """
-    timed, back = _event_time(scored, ts)
+    timed, back = event_time(scored, ts)
     counted = timed.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w")).agg(
         F.count(F.lit(1)).alias("n_transactions"),
         F.count_if(F.col("classification") == "fraud").alias("n_fraud"),
@@ -166,24 +180,11 @@ def with_open_windows(closed: DataFrame, rows: DataFrame, *, ts: str = "ts", wid
 
 def unique_requests(stream: DataFrame, *, ts: str = "ts", row_id: str = "transaction_id", delay: str = "1 hour") -> DataFrame:
     """Each request once; repeats within ``delay`` are dropped and the state is bounded by it."""
-    timed, back = _event_time(stream, ts)
+    timed, back = event_time(stream, ts)
     unique = timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([row_id])
     return unique.withColumn(ts, back(F.col(ts)))
 
 
-def _event_time(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """The stream with the zoned time that watermarks need, and the way back.
-
-    Wall-clock times are taken as UTC, whatever zone the session has, so that windows begin at full
-    hours and days of that clock.
-    """
-    if stream.schema[ts].dataType != TimestampNTZType():
-        return stream, lambda column: column
-    zone = F.current_timezone()
-    timed = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
-    return timed, lambda column: F.to_utc_timestamp(column, zone).cast("timestamp_ntz")
-
-
 def run_to_end(writer: DataStreamWriter, timeout: float | None = None) -> None:
     """Process what is there now, then stop; a caller may limit the seconds."""
     query = writer.trigger(availableNow=True).start()
