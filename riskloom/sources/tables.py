@@ -67,7 +67,8 @@ def read_store(spark: SparkSession, path: str, schema: str | StructType | None =
     try:
         return reader.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        # The last is the second one for the folder of a stream's file sink.
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "_LEGACY_ERROR_TEMP_1134"):
             return None
         raise
 
