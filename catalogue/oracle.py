@@ -598,7 +598,7 @@ ORACLE = {
 
 ORACLE["audit_export_json"] = ORACLE["audit_export"]
 
-# Streams that say what a batch query says.
+# Streams and kept tables that say what a batch query says.
 for _stream, _batch in (
     ("stream_velocity_by_batch", "stream_velocity"),
     ("stream_scored_transactions", "scored_transactions"),
@@ -608,8 +608,20 @@ for _stream, _batch in (
     ("stream_request_rejects", "report_request_rejects"),
     ("stream_alert_fold", "alert_fold"),
     ("stream_alert_illegal", "alert_illegal"),
+    ("user_history_kept", "user_history"),
+    ("known_cards_kept", "known_cards"),
+    ("dashboard_kpis_kept", "dashboard_kpis"),
+    ("score_histogram_kept", "score_histogram"),
+    ("point_lookup_by_bucket", "point_lookup"),
 ):
     ORACLE[_stream] = ORACLE[_batch]
+ORACLE["dashboard_lists_kept"] = f"""SELECT day AS name, n_transactions AS n FROM ({ORACLE["tx_per_day"]})
+  UNION ALL SELECT rule, n_alerts FROM ({ORACLE["alerts_per_rule"]})"""
+ORACLE["tracked_runs"] = f"""WITH c AS (SELECT count(*) FILTER (p AND f) AS tp, count(*) FILTER (p AND NOT f) AS fp, count(*) FILTER (NOT p AND f) AS fn
+    FROM (SELECT round(value * 250, 2) > 10000 AS p, event_type = 'error' AS f FROM events)),
+  m AS (SELECT tp / (tp + fp) AS pr, tp / (tp + fn) AS re FROM c)
+  SELECT 'v' || i AS model_version, 'ready' AS status, {_exact('(SELECT 2 * pr * re / (pr + re) FROM m)', 4)} AS f1,
+  TIMESTAMP '2024-01-29 00:00:00' + i * INTERVAL 1 DAY AS created_at FROM range(1, 3) r(i)"""
 ORACLE["stream_retries"] = """SELECT event_id AS transaction_id, CASE WHEN event_id % 5 >= 3 THEN 'failed' ELSE 'retry' END AS outcome,
   CAST(event_id % 5 + CASE WHEN event_id % 5 < 3 THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
   ts + CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 9 WHEN 2 THEN 27 ELSE 0 END * INTERVAL 1 SECOND AS at,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from riskloom.functions.rules import fired_rules, rule_score
 from riskloom.operators import alerts as alert_ops
 from riskloom.operators import audit, dashboard, drift, forest, history, metrics, reports, tables
 from riskloom.operators.context import mark_blacklisted
-from riskloom.plans import training
+from riskloom.plans import monitoring, training, upkeep
 from riskloom.plans.scoring import alerts_from_scores, flags_of, score_transactions, scores_of, store_scoring, weights_from_table
 from riskloom.schemas import FEATURE_NAMES
 from riskloom.session import new_folder, settle
@@ -777,6 +778,88 @@ def forest_evaluation(spark, folder):
     return _trained(spark, folder).metrics
 
 
+# --- Kept up to date --------------------------------------------------------
+
+
+def _thirds(rows):
+    """The rows in three parts of whole days."""
+    day = F.coalesce(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")), F.lit(0))
+    return [rows.filter(F.pmod(day, F.lit(3)) == i) for i in range(3)]
+
+
+@query
+def user_history_kept(spark, folder):
+    """The history from three batches' moments; the first batch comes a second time, after a wrong one of its name."""
+    path = new_folder(spark, "history")
+    first, *others = _thirds(_base(spark, folder))
+    upkeep.update_history(first.limit(10), path, "0")
+    for i, rows in enumerate([first, *others]):
+        upkeep.update_history(rows, path, str(i))
+    return _rounded_history(upkeep.kept_history(spark, path), "user_id", "n_transactions")
+
+
+@query
+def known_cards_kept(spark, folder):
+    path = new_folder(spark, "cards")
+    until = F.lit(source.KNOWN_CARDS_UNTIL).cast("timestamp_ntz")
+    for i, rows in enumerate(_thirds(_base(spark, folder).filter(F.col("ts") < until))):
+        upkeep.update_cards(rows, path, str(i))
+    return upkeep.kept_cards(spark, path)
+
+
+def _kept_days(spark, rows):
+    """Measures of all days; one day is stored with wrong scores first and then again."""
+    path, day = new_folder(spark, "days"), F.to_date("created_at") == F.lit("2024-01-16").cast("date")
+    wrong = rows.withColumns(
+        {"ensemble_score": F.when(day, F.lit(99.0)).otherwise(F.col("ensemble_score")), "classification": F.when(day, "fraud").otherwise(F.col("classification"))}
+    )
+    upkeep.update_days(upkeep.day_measures(rows, wrong, alerts_from_scores(wrong)), path)
+    again = rows.filter(day)
+    upkeep.update_days(upkeep.day_measures(again, again, alerts_from_scores(again)), path)
+    return upkeep.kept_days(spark, path)
+
+
+@query
+def dashboard_kpis_kept(spark, folder):
+    rows = settle(t.stored_transactions(spark, folder))
+    return upkeep.kpis_of(_kept_days(spark, rows), t.model_runs_of(rows))
+
+
+@query
+def dashboard_lists_kept(spark, folder):
+    """Rows per day and alerts per rule from the kept measures, one below the other."""
+    days = settle(_kept_days(spark, settle(t.stored_transactions(spark, folder))))
+    by_day = upkeep.per_day(days).select(F.date_format("day", "yyyy-MM-dd").alias("name"), F.col("n_transactions").alias("n"))
+    return by_day.unionByName(upkeep.per_rule(days).select(F.col("rule").alias("name"), F.col("n_alerts").alias("n")))
+
+
+@query
+def score_histogram_kept(spark, folder):
+    rows = settle(t.scored(spark, folder, weights=None).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")))
+    return upkeep.histogram_of(_kept_days(spark, rows))
+
+
+@query
+def point_lookup_by_bucket(spark, folder):
+    """The point lookup from a table in buckets by transaction."""
+    path = new_folder(spark, "by-transaction")
+    table = io.store_by_key(t.stored_transactions(spark, folder), "lookup_" + path.rsplit("-", 1)[1], path, "transaction_id", buckets=16)
+    return tables.get_by_id(table, 27).select("transaction_id", "status", "deleted_at")
+
+
+@query
+def tracked_runs(spark, folder):
+    """A monitoring run of the whole table against its first half, tracked and listed: version, status and F1."""
+    path = new_folder(spark, "runs")
+    rows = _base(spark, folder)
+    sample = rows.select(F.col("amount").cast("double").alias("amount"), "ts", F.col("is_fraud").alias("actual"), F.when(F.col("amount") > 10000, 1).otherwise(0).alias("predicted"))
+    found = monitoring.monitor(sample.filter(F.col("ts") < t.split_day()), sample, ["amount"])
+    for version, at in (("v1", "2024-01-30 00:00:00"), ("v2", "2024-01-31 00:00:00")):
+        monitoring.track_run(found, path, version, datetime.fromisoformat(at))
+    runs = drift.list_runs(spark.read.parquet(path))
+    return runs.select("model_version", "status", round_exact(F.col("metrics")["f1"], 4).alias("f1"), "created_at")
+
+
 # --- Files and streams ------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numbers import round_exact
@@ -40,6 +40,16 @@ def dashboard_kpis(transactions: DataFrame, scores: DataFrame, alerts: DataFrame
     )
 
 
+def bucket_hits(value: Column, buckets: Sequence[tuple], contiguous: bool = False) -> list[tuple[str, Column]]:
+    """For each bucket its label and the aggregate that counts its values."""
+    found, previous = [], None
+    for low, high, label in buckets:
+        start = value > previous if contiguous and previous is not None else value >= low
+        found.append((label, F.count_if(start & (value <= high))))
+        previous = high
+    return found
+
+
 def score_histogram(
     scores: DataFrame,
     score: str = "ensemble_score",
@@ -51,13 +61,7 @@ def score_histogram(
     Bucket bounds are whole numbers and a score between two buckets (20.5) is in none of them;
     ``contiguous=True`` lets every bucket begin right above the previous one.
     """
-    value = F.col(score)
-    counts, previous = [], None
-    for low, high, label in buckets:
-        start = value > previous if contiguous and previous is not None else value >= low
-        hits = F.count_if(start & (value <= high))
-        counts.append(F.struct(F.lit(label).alias("range"), hits.alias("count")))
-        previous = high
+    counts = [F.struct(F.lit(label).alias("range"), hits.alias("count")) for label, hits in bucket_hits(F.col(score), buckets, contiguous)]
     return scores.agg(F.array(*counts).alias("buckets")).select(F.inline("buckets"))
 
 

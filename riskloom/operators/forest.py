@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,6 @@ from riskloom.session import settle
 OVERSAMPLING = 1.5
 AUTO_OFFSET = -0.5
 _EULER = 0.5772156649015329
-_HASH_RANGE = 1 << 31
 
 
 def average_path(n: int) -> float:
@@ -112,27 +112,31 @@ def _height_limit(psi: int) -> int:
 def draw_samples(df: DataFrame, row_id: str, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
     """``psi`` rows per tree, chosen by hash: independent of partitioning, without a full shuffle.
 
-    About ``1.5 * psi`` candidates per tree pass the hash cut; the ``psi`` lowest hashes are kept.  On
-    large data one hash both admits a row and names its tree; on small data every tree has its own.
+    Every row is a candidate of every tree with the same chance, which lets about ``1.5 * psi`` rows per tree pass; the
+    ``psi`` lowest hashes are kept. A row walks from one of its trees to the next by geometric steps, so that a row of
+    a large table, which mostly has none, costs one hash, and one scheme serves tables of any size.
     """
     share = min(1.0, OVERSAMPLING * psi / n)
-
-    def draw(*salt) -> Column:
-        return F.pmod(F.xxhash64(F.col(row_id), *[F.lit(x) if isinstance(x, int) else x for x in salt]), _HASH_RANGE)
-
-    if share * n_trees <= 1.0 and share * _HASH_RANGE >= 1024:
-        width = int(share * _HASH_RANGE)
-        tree = F.floor(draw(seed) / width).cast("int")
-        candidates = df.withColumn("tree", tree).filter(F.col("tree") < n_trees)
-    elif share * n_trees <= 1.0:
-        # Beyond the resolution of one 31-bit draw: admit by a first draw, choose the tree by a second.
-        admitted = F.xxhash64(F.col(row_id), F.lit(seed)).cast("double") / 2.0**64 + 0.5
-        candidates = df.filter(admitted < share * n_trees).withColumn("tree", F.pmod(draw(seed, 1), n_trees).cast("int"))
-    else:
-        cut = int(share * _HASH_RANGE)
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(seed, t) < cut)
-        candidates = df.withColumn("tree", F.explode(trees))
-    candidates = candidates.withColumn("__draw", draw(seed, F.col("tree"), 7))
+    miss = math.log1p(-share) if share < 1.0 else -math.inf
+
+    def hashed(*salt) -> Column:
+        return F.xxhash64(F.col(row_id), *[F.lit(x) if isinstance(x, int) else x for x in salt])
+
+    def step(i) -> Column:
+        """Trees passed over before the next one: a geometric number, from 53 bits of a hash, in the open unit interval."""
+        unit = (F.shiftrightunsigned(hashed(seed, i), 11).cast("double") + 0.5) / 2.0**53
+        return F.floor(F.least(F.log(unit) / F.lit(miss), F.lit(float(n_trees)))).cast("int")
+
+    def walk(state, i):
+        at = state["at"] + 1 + step(i)
+        trees = F.when(at < n_trees, F.concat(state["trees"], F.array(at))).otherwise(state["trees"])
+        return F.when(state["at"] < n_trees, F.struct(at.alias("at"), trees.alias("trees"))).otherwise(state)
+
+    chosen = df.withColumn("__first", step(0)).filter(F.col("__first") < n_trees)
+    start = F.struct(F.col("__first").alias("at"), F.array("__first").alias("trees"))
+    trees = F.aggregate(F.sequence(F.lit(1), F.lit(n_trees)), start, walk)["trees"]
+    candidates = chosen.withColumn("tree", F.explode(trees)).drop("__first")
+    candidates = candidates.withColumn("__draw", hashed(seed, F.col("tree"), 7))
     # About 1.5 * psi rows per tree; trees are spread over tasks by number, not merged by size.
     tasks = min(n_trees, df.sparkSession.sparkContext.defaultParallelism)
     candidates = candidates.repartition(tasks, "tree")
@@ -205,8 +209,8 @@ def load_forest(spark: SparkSession, path: str) -> Forest | None:
     try:
         params = spark.read.schema(FOREST_PARAMS).parquet(f"{path}/params").first()
         nodes = spark.read.schema(FOREST_NODES).parquet(f"{path}/nodes")
-    except Exception as error:  # noqa: BLE001 - only a missing path means "no model"
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     return Forest(nodes, params["n_trees"], params["psi"], params["seed"], params["contamination"], params["offset"])

@@ -73,6 +73,17 @@ def read_store(spark: SparkSession, path: str, schema: str | StructType | None =
         raise
 
 
+def store_by_key(df: DataFrame, name: str, path: str, key: str, buckets: int = 64, spread: int = 8) -> DataFrame:
+    """A table in ``buckets`` by ``key``, sorted by it within files: a reader of one key opens one bucket and skips most of it.
+
+    Rows of one key are written by up to ``spread`` tasks, so that a frequent key is not one task's work.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    rows = df.repartition(buckets, F.col(key), part)
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def batch_name(df: DataFrame, *columns: str) -> str:
     """A name for a batch of rows that only depends on these columns' values, in any order of rows."""
     row = df.agg(F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).first()
