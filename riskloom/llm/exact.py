@@ -97,7 +97,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest
     salted = state.where("n > 1").select("digest", salts.alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     texts = located(rows).select("digest", "norm", "file", "row").join(F.broadcast(hot.select("digest", "n")), "digest", "left")
     spread = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("file", "row"), salts)).cast("int")
-    texts = texts.select("digest", "norm", spread.alias("salt")).join(salted, ["digest", "salt"])
+    # One way of joining at any size: a broadcast on small tables would hide what the large ones move.
+    texts = texts.select("digest", "norm", spread.alias("salt")).join(salted.hint("merge"), ["digest", "salt"])
     cells = texts.groupBy("digest", "salt").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.max("salts").alias("salts"))
     checked = cells.where("low <> high OR salts > 1").groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     checked = checked.where("low <> high")
