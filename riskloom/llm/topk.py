@@ -1,8 +1,10 @@
 """Exact top-k inner products over integer vectors by an impact-ordered index, score at a time.
 
 Rows lie in blocks of bounded size, each with postings by (component, level); every block of queries meets
-every block of rows. Null vectors and vectors with null or non-finite components take no part, nor do
-vectors whose length is not the table's most common one's. Ties go to the smaller id.
+every block of rows. Null ids, null and empty vectors and vectors with null or non-finite components take no part. Vectors of
+different lengths never meet. Rows that repeat id and vector count once; ties go to the smaller id. Components so large that
+sums are no longer exact as doubles are scored as whole numbers from the start, a score beyond a long as the long nearest to it;
+a component beyond a long counts as that long. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,19 @@ class Block:
         self.ends = np.array(ends, int)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(int)
 
+    def fits(self, query: np.ndarray) -> bool:
+        """Whether no sum of products with this query can leave the whole numbers that doubles hold."""
+        sides = [float(np.abs(side.astype(float)).max(initial=0)) + LEVEL for side in (query, self.vectors)]
+        return sides[0] * sides[1] * max(len(query), 1) < 2**53
+
+    def whole(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``top`` by Python's integers."""
+        at = np.flatnonzero(self.ids != query_id)
+        exact = [sum(int(a) * int(b) for a, b in zip(query, self.vectors[i])) for i in at]
+        best = sorted(range(len(at)), key=lambda j: (-exact[j], self.ids[at[j]]))[:k]
+        bound = 2**63 - 1
+        return self.ids[at[best]] if best else self.ids[:0], np.array([max(-bound, min(bound, exact[j])) for j in best], np.int64)
+
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own.
 
@@ -81,7 +96,7 @@ def quantised(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     source = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     bad = F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     source = source.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~bad)
-    return source.select("vec_id", F.transform("x", lambda x: F.floor(x * 256).cast("int")).alias("v"))
+    return source.select("vec_id", F.transform("x", lambda x: F.floor(x * 256)).alias("v"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -90,13 +105,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Rows that repeat both id and vector count once.
     """
     rows, queries = rows.distinct(), queries.distinct()
-    n = rows.count()
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = common["d"] if common else 1
-    blocks, parts = max(1, -(-n // ROWS)), max(1, -(-queries.count() // QUERIES))
+    blocks, parts = max(1, -(-rows.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
 
     def prepared(frame, name, count):
-        return frame.where(F.size("v") == width).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
+        return frame.withColumns({"d": F.size("v"), name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")})
 
     # A task holds one block of each side, so its memory does not grow with the table.
     left = prepared(rows, "block", blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -107,11 +119,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         if len(left) and len(right):
             block = Block(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()).astype(np.int64))
             for query_id, v in zip(right["vec_id"], right["v"]):
-                ids, scores = block.top(query_id, np.asarray(v, np.int64), k)
+                query = np.asarray(v, np.int64)
+                ids, scores = block.top(query_id, query, k) if block.fits(query) else block.whole(query_id, query, k)
                 out += [(query_id, int(i), int(s)) for i, s in zip(ids, scores)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = left.groupBy("block", "part", "d").cogroup(right.groupBy("block", "part", "d")).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
