@@ -219,11 +219,11 @@ def assigned(
     reps = settle(least.withColumn("rep", F.monotonically_increasing_id()))
     texts = source.withColumn("digest", digest).join(reps, ["doc_id", "digest"])
     texts = settle(texts.select("rep", "text").dropDuplicates(["rep"]))
-    rows = banded(texts, bands, depth)
+    rows = settle(banded(texts, bands, depth))  # read twice, computed once
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
     # The least rep of a bucket is its first pivot, the others take their turn by a draw between 0 and the bucket's size.
     turn = F.when(F.col("rep") == F.col("least"), -1.0).otherwise(F.pmod(F.xxhash64("rep"), F.lit(1 << 31)) / float(1 << 31) * F.col("n"))
-    rows = settle(settle(rows).join(shared, "band").select("band", "rep", "total", "n", turn.alias("turn")))
+    rows = settle(rows.join(shared, "band").select("band", "rep", "total", "n", turn.alias("turn")))
     links = roots = tried = None
     low, high = -1, 0
     while True:
