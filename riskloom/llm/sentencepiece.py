@@ -7,11 +7,13 @@ empty result. Only the columns named by the caller are read, so others may have
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +113,16 @@ def build_tokenizer(model: dict):
     return tokenizer
 
 
+def hold_threads() -> None:
+    """As many threads for batches as the task has cores: more only get in each other's way. To be called before the first batch."""
+    task = TaskContext.get()
+    if task is not None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(task.cpus()))
+
+
 @functools.lru_cache(maxsize=4)
 def _loaded(data: bytes):
+    hold_threads()
     return build_tokenizer(parse_model(data))
 
 
@@ -145,7 +155,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id
         for batch in batches:
             texts, keys, at = batch.column("text").to_pylist(), batch.column("doc_id"), 0
             for part in _batches(texts):
-                ids = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
                 decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
                 same = [a == b for a, b in zip(ids, _peer(model).encode(part, num_threads=1))] if check else [None] * len(part)
                 columns = [keys.slice(at, len(part)), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
