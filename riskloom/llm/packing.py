@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import json
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,16 +19,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.sentencepiece import hold_threads
 from riskloom.session import settle
 
 CAPACITY, SHARD, LINEAR, QUADRATIC = 4096, 512, 1.0, 1 / 4096
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: Characters on which the tokenizer's rules and Python's agree; texts with others are encoded whole.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f\u0400-\u045f]*")
+KNOWN, RUN = 400_000, 4096
+
+
+def plain_class(kind: str) -> str:
+    """The characters of plain texts in lower case whose category begins with ``kind``, for a character class."""
+    plain = [chr(c) for c in range(0x460) if PLAIN.fullmatch(chr(c))]
+    return "".join(re.escape(c) for c in sorted({c for x in plain for c in x.lower()}) if unicodedata.category(c)[0] == kind)
 
-    return Tokenizer.from_file(path)
+
+class Encoder:
+    """A tokenizer file; where it cuts texts into words by a pattern, each distinct word is encoded once.
+
+    That holds for files that lower the text, put it in NFC, and encode the matches of one pattern byte by byte, apart from
+    each other. For any other file, and for texts beyond ``PLAIN`` or with control strings, whole texts are encoded.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        hold_threads()
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.pattern, self.added = None, [token["content"] for token in spec["added_tokens"]]
+        steps = [step["type"] for step in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}:
+            if [part["type"] for part in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not (parts[1]["use_regex"] or parts[1]["add_prefix_space"]):
+                classes = parts[0]["pattern"]["Regex"].replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+                self.pattern = re.compile(self._spelt(classes))
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix:
+            self.pattern = None
+        else:  # every word's last token, and no other, carries the suffix
+            vocabulary = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    @staticmethod
+    def _spelt(pattern: str) -> str:
+        """The pattern with its letters and numbers spelt out, as far as plain texts have them."""
+        letters, numbers = plain_class("L"), plain_class("N")
+        within = re.sub(r"\[\^[^]]*\]", lambda m: m[0].replace(r"\p{L}", letters).replace(r"\p{N}", numbers), pattern)
+        return within.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit numbers, from runs of words that spaces keep apart."""
+        out = []
+        for at in range(0, len(words), RUN):
+            run = words[at : at + RUN]
+            (ids,) = self._whole([" ".join(run)])
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) == len(run):
+                flat, begins = ids.tobytes(), [0, *ends.tolist()]
+                out += [flat[a:b] for a, b in zip(begins, begins[1:])]
+            else:
+                out += [ids.tobytes() for ids in self._whole(run)]
+        return out
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def words(self, text: str) -> list[str] | None:
+        """The words to encode, or None for a text to be encoded whole."""
+        if self.pattern is None or not PLAIN.fullmatch(text) or any(token in text for token in self.added):
+            return None
+        return self.pattern.findall(text.lower())
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.words(text) for text in texts]
+        distinct = set().union(*[words for words in cut if words])
+        fresh = [word for word in distinct if word not in self.known]
+        if len(self.known) + len(fresh) > KNOWN:
+            self.known.clear()
+            fresh = list(distinct)
+        self.known.update(zip(fresh, self._words(fresh)))
+        whole = iter(self._whole([text for text, words in zip(texts, cut) if words is None]))
+        return [next(whole) if words is None else np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def token_rows(docs: DataFrame, path: str, end: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -41,9 +126,12 @@ def token_rows(docs: DataFrame, path: str, end: int = 2, text: str = "text", key
                 while upto < len(texts) and (upto == at or size < 1 << 20):
                     size += len(texts[upto])
                     upto += 1
-                ids = [[*e.ids, end] for e in _tokenizer(path).encode_batch(texts[at:upto], add_special_tokens=False)]
-                columns = [keys.slice(at, upto - at), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n"])
+                found = _encoder(path).encode(texts[at:upto])
+                n = np.array([len(ids) + 1 for ids in found], np.int64)
+                last = np.array([end], "<u4")
+                flat = np.concatenate([part for ids in found for part in (ids, last)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([keys.slice(at, upto - at), ids, pa.array(n)], names=["doc_id", "ids", "n"])
                 at = upto
 
     return settle(source.mapInArrow(run, "doc_id long, ids array<int>, n long").withColumn("uid", F.monotonically_increasing_id()))
@@ -114,22 +202,33 @@ def pack(
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out += ", ids array<int>" if with_ids else ""
 
+    names = [c.split()[0] for c in out.split(", ")]
+
     def cut(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                n, first = row.column("n")[0].as_py(), row.column("whole")[0].as_py()
-                ids = row.column("ids")[0].values.to_numpy(zero_copy_only=False).astype("<u4")
-                pieces = [(s, capacity, None, 0) for s in range(0, n - n % capacity, capacity)]
-                pieces += [(p["start"], p["length"], p["sequence_id"], p["offset"]) for p in row.column("tail")[0].as_py() or []]
-                found = [ids[s : s + size] for s, size, _, _ in pieces]
-                names = [(first + s // capacity) * 2 if q is None else q for s, _, q, _ in pieces]
-                doc = row.column("doc_id")[0].as_py()
-                arrays = [[doc] * len(pieces), [p[0] for p in pieces], [p[1] for p in pieces], [zlib.crc32(f.tobytes()) for f in found]]
-                arrays += [[n] * len(pieces), names, [p[3] for p in pieces]]
-                columns = [pa.array(a, pa.int64()) for a in arrays]
-                if with_ids:
-                    columns.append(pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in out.split(", ")])
+            lines, parts, held = [], [], 0
+            for doc, values, n, tail, first in zip(*[batch.column(c) for c in ("doc_id", "ids", "n", "tail", "whole")]):
+                doc, n, first = doc.as_py(), n.as_py(), first.as_py()
+                ids = values.values.to_numpy(zero_copy_only=False).astype("<u4")
+                for s in range(0, n - n % capacity, capacity):
+                    lines.append((doc, s, capacity, zlib.crc32(ids[s : s + capacity].tobytes()), n, (first + s // capacity) * 2, 0))
+                    parts.append(ids[s : s + capacity])
+                for p in tail.as_py() or []:
+                    s, size = p["start"], p["length"]
+                    lines.append((doc, s, size, zlib.crc32(ids[s : s + size].tobytes()), n, p["sequence_id"], p["offset"]))
+                    parts.append(ids[s : s + size])
+                held += n
+                if held > 1 << 20:  # about a million ids at a time
+                    yield pieces(lines, parts)
+                    lines, parts, held = [], [], 0
+            yield pieces(lines, parts)
+
+    def pieces(lines, parts):
+        columns = [pa.array(c, pa.int64()) for c in (zip(*lines) if lines else [()] * 7)]
+        if with_ids:
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32())
+            flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(flat)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(cut, out)
