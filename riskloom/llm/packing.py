@@ -30,9 +30,9 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f\u0400-\u045f]*")
 KNOWN, RUN = 400_000, 4096
 
 
-def plain_class(kind: str) -> str:
-    """The characters of plain texts in lower case whose category begins with ``kind``, for a character class."""
-    plain = [chr(c) for c in range(0x460) if PLAIN.fullmatch(chr(c))]
+def plain_class(kind: str, top: int) -> str:
+    """The characters of plain texts below ``top`` in lower case whose category begins with ``kind``, for a character class."""
+    plain = [chr(c) for c in range(top) if PLAIN.fullmatch(chr(c))]
     return "".join(re.escape(c) for c in sorted({c for x in plain for c in x.lower()}) if unicodedata.category(c)[0] == kind)
 
 
@@ -56,7 +56,10 @@ class Encoder:
         if steps == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}:
             if [part["type"] for part in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not (parts[1]["use_regex"] or parts[1]["add_prefix_space"]):
                 classes = parts[0]["pattern"]["Regex"].replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
-                self.pattern = re.compile(self._spelt(classes))
+                before, letters, _ = classes.partition(r"|\p{L}+|")
+                if letters and all(other.startswith("'") for other in before.split("|")):
+                    classes = r"\p{L}+|" + classes  # no earlier part begins with a letter: the commonest is tried first
+                self.pattern, self.ascii = (re.compile(self._spelt(classes, top)) for top in (0x460, 0x80))
         suffix = spec["model"].get("end_of_word_suffix")
         if not suffix:
             self.pattern = None
@@ -66,9 +69,9 @@ class Encoder:
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @staticmethod
-    def _spelt(pattern: str) -> str:
-        """The pattern with its letters and numbers spelt out, as far as plain texts have them."""
-        letters, numbers = plain_class("L"), plain_class("N")
+    def _spelt(pattern: str, top: int) -> str:
+        """The pattern with its letters and numbers spelt out, as far as plain texts below ``top`` have them."""
+        letters, numbers = plain_class("L", top), plain_class("N", top)
         within = re.sub(r"\[\^[^]]*\]", lambda m: m[0].replace(r"\p{L}", letters).replace(r"\p{N}", numbers), pattern)
         return within.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
 
@@ -93,7 +96,7 @@ class Encoder:
         """The words to encode, or None for a text to be encoded whole."""
         if self.pattern is None or not PLAIN.fullmatch(text) or any(token in text for token in self.added):
             return None
-        return self.pattern.findall(text.lower())
+        return (self.ascii if text.isascii() else self.pattern).findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
