@@ -638,3 +638,66 @@ ORACLE["stream_scores"] = _sql(
   CASE WHEN classification = 'fraud' THEN 'alert-' || s.transaction_id END AS alert_id, sha256_checksum
   FROM sscored s JOIN saudit a ON a.transaction_id = CAST(s.transaction_id AS VARCHAR)""",
 )
+
+ORACLE["named_features"] = _sql(
+    "features",
+    " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS place, '{name[2:]}' AS feature, count(*) FILTER (WHERE {name} <> 0) AS n, round(max({name}), 4) AS top FROM features"
+        for i, name in enumerate(FEATURES)
+    ),
+)
+ORACLE["undefined_metrics"] = _sql(
+    "pairs",
+    " UNION ALL ".join(
+        f"SELECT *, '{part}' AS part FROM ({_metrics(f'(SELECT {_COUNTS} FROM {rows})')})"
+        for part, rows in (
+            ("none", "(SELECT * FROM pairs WHERE false)"),
+            ("never called", "(SELECT false AS p, a FROM pairs)"),
+            ("one class", "(SELECT * FROM pairs WHERE NOT a)"),
+        )
+    ),
+)
+ORACLE["forest_trees"] = """SELECT CAST(tree AS INTEGER) AS tree, (SELECT least(256, count(*)) FROM events) AS n_drawn, 1::BIGINT AS extra_leaves,
+  0::BIGINT AS n_deep, 0::BIGINT AS n_broken FROM range(100) r(tree)"""
+ORACLE["forest_reloaded"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_changed, 0::BIGINT AS n_outside FROM events"
+ORACLE["decision_evaluation"] = _sql(
+    "tx",
+    f"""SELECT {_exact("tp / (tp + fp)", 4)} AS precision, {_exact("tp / (tp + fn)", 4)} AS recall, {_exact("pr_auc", 4)} AS pr_auc,
+  {_exact("roc_auc", 4)} AS roc_auc, tp + fp + tn + fn AS n_samples, tp + fp AS n_anomalies
+  FROM (SELECT {_COUNTS} FROM (SELECT amount > 8000 AS p, is_fraud = 1 AS a FROM tx)), ({_AREA})""",
+    _areas("SELECT CAST(amount AS DOUBLE) - 8000 AS score, is_fraud AS actual FROM tx"),
+)
+
+# The same draws: the words of MD5 digests of seed, row or user, and number, as shares of 2^32.
+_DRAWS = (
+    "user fraud pattern tier radius angle amount merchant burst odd currency hours burst_hours burst_minutes hour minute second"
+).split()
+
+
+def _draw(of: str, place: int) -> str:
+    return f"(CAST('0x' || substr(md5('42:{of}:' || id || ':{place // 4}'), {1 + place % 4 * 8}, 8) AS BIGINT) / 4294967296::DOUBLE)"
+
+
+ORACLE["synthetic_transactions"] = f"""WITH d AS (
+  SELECT id, {", ".join(f"{_draw('row', i)} AS u_{name}" for i, name in enumerate(_DRAWS))} FROM (SELECT event_id AS id FROM events)),
+u AS (SELECT id AS row_id, CAST(floor(u_user * 250) AS INTEGER) AS id, * EXCLUDE (id) FROM d),
+r AS (SELECT *, 20 + 180 * {_draw("user", 0)} AS mean, 10 + 40 * {_draw("user", 1)} AS std, u_fraud < 0.05 AS fraud,
+    CASE WHEN u_pattern < 0.4 THEN 'outlier' WHEN u_pattern < 0.4 + 0.3 THEN 'merchant' WHEN u_pattern < 0.4 + 0.3 + 0.2 THEN 'night' ELSE 'round' END AS kind,
+    CASE WHEN u_tier < 0.7 THEN 'low' WHEN u_tier < 0.7 + 0.25 THEN 'medium' ELSE 'high' END AS tier FROM u),
+s AS (SELECT *, CASE WHEN NOT fraud THEN tier WHEN kind = 'merchant' THEN 'high' ELSE 'medium' END AS shop,
+    round(CASE WHEN NOT fraud THEN greatest(1, mean + std * sqrt(-2 * ln(1 - u_radius)) * cos(u_angle * 2 * pi()))
+      WHEN kind = 'outlier' THEN mean + std * (5 + 15 * u_amount) WHEN kind = 'merchant' THEN 100 + 4900 * u_amount
+      WHEN kind = 'night' THEN 50 + 450 * u_amount
+      ELSE [500, 1000, 2000, 5000, 10000, 50000][CAST(floor(u_amount * 6) AS INTEGER) + 1] END, 2) AS amount,
+    CASE WHEN fraud THEN 'high_risk' ELSE tier || '_risk' END AS category,
+    TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * CAST(CASE WHEN fraud AND u_burst < 0.3
+      THEN floor(u_burst_hours * 3) * 60 + floor(u_burst_minutes * 11) ELSE floor(u_hours * 721) * 60 END AS INTEGER) AS moment,
+    CASE WHEN u_odd < 0.005 THEN floor(u_hour * 6) ELSE floor(u_hour * 16) + 8 END AS clock FROM r)
+SELECT printf('tx-%06d', row_id) AS transaction_id, printf('user-%04d', id) AS user_id, amount,
+  ['USD', 'EUR', 'GBP', 'CAD'][CAST(floor(u_currency * 4) AS INTEGER) + 1] AS currency,
+  printf('%s merchant %02d', shop, CAST(floor(u_merchant * CASE shop WHEN 'low' THEN 20 ELSE 10 END) AS INTEGER) + 1) AS merchant_name,
+  category AS merchant_category, strftime(moment, '%Y-%m-%d') || printf('T%02d:%02d:%02d+00:00', CAST(clock AS INTEGER),
+    CAST(floor(u_minute * 60) AS INTEGER), CAST(floor(u_second * 60) AS INTEGER)) AS "timestamp", CAST(fraud AS INTEGER) AS is_fraud,
+  CAST(hour(moment) AS INTEGER) AS hour_of_day, CAST(isodow(moment) >= 6 AS INTEGER) AS is_weekend,
+  CAST(category = 'high_risk' AS INTEGER) AS is_crypto, CAST(amount % 100 = 0 AS INTEGER) AS amount_round_number,
+  round(mean, 2) AS user_avg_amount, round(std, 2) AS user_std_amount FROM s"""

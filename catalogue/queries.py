@@ -19,7 +19,7 @@ from riskloom.functions.ensemble import (
     threshold,
     tier_label,
 )
-from riskloom.functions.features import feature_vector
+from riskloom.functions.features import feature_names, feature_vector
 from riskloom.functions.numbers import fixed_text, round_exact
 from riskloom.functions.rules import fired_rules, rule_score
 from riskloom.operators import alerts as alert_ops
@@ -208,6 +208,16 @@ def feature_vectors(spark, folder):
     return rows.select("transaction_id", _joined(texts).alias("vector"))
 
 
+@query
+def named_features(spark, folder):
+    """Each feature's name and place in the vector, the rows where it is not 0, and its greatest value."""
+    names = feature_names()
+    rows = t.features(spark, folder).select(*[F.col(f"f_{name}").alias(name) for name in names])
+    counts = rows.agg(*[F.struct(F.count_if(F.col(name) != 0).alias("n"), F.max(name).alias("top")).alias(name) for name in names])
+    each = [F.struct(F.lit(i).alias("place"), F.lit(name).alias("feature"), f"{name}.n", F.round(f"{name}.top", 4).alias("top")) for i, name in enumerate(names)]
+    return counts.select(F.inline(F.array(*each)))
+
+
 # --- Ensemble and scoring ---------------------------------------------------
 
 
@@ -546,6 +556,16 @@ def binary_metrics(spark, folder):
     return metrics.binary_metrics(metrics.confusion(_label_pairs(spark, folder)))
 
 
+@query
+def undefined_metrics(spark, folder):
+    """Metrics where ratios are undefined: of no rows, of rows that are never called positive, of rows of one class."""
+    pairs = _label_pairs(spark, folder)
+    none = metrics.binary_metrics(metrics.confusion(pairs.where("predicted > 1"))).withColumn("part", F.lit("none"))
+    missed = metrics.binary_metrics(metrics.confusion(pairs.withColumn("predicted", F.lit(0)))).withColumn("part", F.lit("never called"))
+    only = metrics.binary_metrics(metrics.confusion(pairs.where("actual = 0"))).withColumn("part", F.lit("one class"))
+    return none.unionByName(missed).unionByName(only)
+
+
 @query
 def daily_metrics(spark, folder):
     rows = t.daily_metrics(spark, folder)
@@ -778,6 +798,54 @@ def forest_evaluation(spark, folder):
     return _trained(spark, folder).metrics
 
 
+def _numbers(spark, folder):
+    """Two numbers a row, of which most values differ."""
+    return settle(_base(spark, folder).select("transaction_id", F.col("amount").cast("double").alias("a"), F.hour("ts").cast("double").alias("h")))
+
+
+@query
+def forest_trees(spark, folder):
+    """Per tree: rows drawn, leaves beyond splits, nodes below the height limit, splits whose sides do not add up, distinct rows."""
+    rows = _numbers(spark, folder)
+    model = forest.fit_forest(rows, [F.col("a"), F.col("h")])
+    limit = F.ceil(F.log2(F.lit(float(model.psi))))
+    nodes = model.nodes.select("tree", "node", "feature", "depth", "size")
+    sides = nodes.where("node > 0").groupBy("tree", F.floor((F.col("node") - 1) / 2).cast("int").alias("node"))
+    sides = sides.agg(F.sum("size").alias("below"), F.count(F.lit(1)).alias("n_sides"))
+    joined = nodes.join(sides, ["tree", "node"], "left")
+    leaf = F.col("feature") < 0
+    broken = F.when(leaf, F.col("below").isNotNull()).otherwise((F.coalesce("n_sides", F.lit(0)) != 2) | (F.col("below") != F.col("size")))
+    return joined.groupBy("tree").agg(
+        F.sum(F.when(F.col("node") == 0, F.col("size"))).alias("n_drawn"),
+        (F.count_if(leaf) - F.count_if(~leaf)).alias("extra_leaves"),
+        F.count_if(F.col("depth") > limit).alias("n_deep"),
+        F.count_if(broken).alias("n_broken"),
+    )
+
+
+@query
+def forest_reloaded(spark, folder):
+    """Rows scored by a forest, those whose score differs once it is saved and loaded, and those outside [-1, 0)."""
+    rows, path = _numbers(spark, folder), new_folder(spark, "forest")
+    columns = [F.col("a"), F.col("h")]
+    model = forest.fit_forest(rows, columns, contamination=0.1)
+    forest.save_forest(model, path)
+    both = forest.load_forest(spark, path).add_decision(model.add_decision(rows, columns, "before"), columns, "after")
+    score = F.col("after") + model.offset
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("before") != F.col("after")).alias("n_changed"),
+        F.count_if((score < -1) | (score >= 0)).alias("n_outside"),
+    )
+
+
+@query
+def decision_evaluation(spark, folder):
+    """All measures of a model's decisions: an amount over 8000 is an anomaly, the more the larger."""
+    rows = _base(spark, folder).select((8000 - F.col("amount").cast("double")).alias("decision"), F.col("is_fraud").alias("actual"))
+    return metrics.evaluate_scores(rows)
+
+
 # --- Kept up to date --------------------------------------------------------
 
 
@@ -865,8 +933,8 @@ def tracked_runs(spark, folder):
 
 @query
 def synthetic_transactions(spark, folder):
-    """One synthetic labelled row per event number."""
-    return synthetic.synthesize_for(source.scan(spark, folder, "events"), "event_id")
+    """One synthetic labelled row per event number, of 250 users."""
+    return synthetic.synthesize_for(source.scan(spark, folder, "events"), "event_id", users=250)
 
 
 @query

@@ -13,10 +13,37 @@ ISO_PATTERN = (
     r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d)?)?)?)?\z"
 )
 
+# A year and week, with or without the day of the week, and the rest. With separators a lone digit after a hyphen is
+# the day; without, a digit is the day unless an even number of digits follows it, which then are a separator and a time.
+WEEK_PATTERN = r"(?s)\A(\d{4})(?:-W(\d\d)(?:-(\d)(?!\d))?|W(\d\d)(?:(\d)(?=(?:\d(?:\d\d)*)?(?!\d)))?)(.*)\z"
+
+
+def _week_as_date(text: Column) -> Column:
+    """Text that starts with an ISO week date, with a calendar date in its place; NULL if there is no such week."""
+
+    def number(group: int, missing: str) -> Column:
+        found = F.regexp_extract(text, WEEK_PATTERN, group)
+        return F.when(found == "", missing).otherwise(found).cast("int")
+
+    year, week = number(1, "1"), F.greatest(number(2, "0"), number(4, "0"))
+    given = F.greatest(number(3, "-1"), number(5, "-1"))
+    day = F.when(given == -1, 1).otherwise(given)
+    # The week with January 4th is the first, the week with December 28th the last.
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    valid = (year >= 1) & week.between(1, F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))) & day.between(1, 7)
+    date = F.date_add(monday, (week - 1) * 7 + day - 1)
+    return F.when(valid, F.concat(F.date_format(date, "yyyy-MM-dd"), F.regexp_extract(text, WEEK_PATTERN, 6)))
+
 
 def parse_wall_clock(text: Column) -> Column:
-    """ISO-8601 text as a zone-less timestamp; NULL if it is not a full valid date."""
+    """ISO-8601 text, of a calendar or week date, as a zone-less timestamp; NULL if it is not a full valid date."""
+    by_week = F.when(text.rlike(WEEK_PATTERN), _week_as_date(text)).otherwise(text)
+    # Only texts with a W pay for the week's pattern.
+    return F.when(text.contains("W"), _parse_date(by_week)).otherwise(_parse_date(text))
+
 
+def _parse_date(text: Column) -> Column:
     def part(group: int) -> Column:
         found = F.regexp_extract(text, ISO_PATTERN, group)
         return F.when(found == "", "0").otherwise(found)

@@ -21,12 +21,25 @@ BURST_SHARE = 0.3
 ODD_HOUR_SHARE = 0.05 * 2 * FRAUD_RATE
 MAX_HOURS = 720
 
-_RANGE = 1 << 31
+# Names of a row's draws, four to a digest, and of a user's.
+ROW_DRAWS = (
+    "user", "fraud", "pattern", "tier", "radius", "angle", "amount", "merchant", "burst",
+    "odd", "currency", "hours", "burst_hours", "burst_minutes", "hour", "minute", "second",
+)
+USER_DRAWS = ("avg", "std", "country")
 
 
-def _uniform(seed: int, salt: str, *keys: Column) -> Column:
-    """A number in [0, 1) fixed by seed, salt and keys."""
-    return F.pmod(F.xxhash64(*keys, F.lit(salt), F.lit(seed)), F.lit(_RANGE)) / float(_RANGE)
+def _digest(seed: int, salt: str, key: Column, number: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), key.cast("string"), F.lit(str(number))))
+
+
+def _uniform(digest: Column, part: int) -> Column:
+    """A number in [0, 1): one of the four words of an MD5 digest, so that any SQL engine can draw it again."""
+    return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("long") / 2.0**32
+
+
+def _user_draw(seed: int, user: Column, name: str) -> Column:
+    return _uniform(_digest(seed, "user", user, 0), USER_DRAWS.index(name))
 
 
 def _integer(u: Column, low: int, high: int) -> Column:
@@ -52,23 +65,31 @@ def synthesize_transactions(
     fraud_rate: float = FRAUD_RATE,
     seed: int = 42,
     start: str = "2024-01-01 00:00:00",
+    users: int = USERS,
 ) -> DataFrame:
-    """``n`` labelled rows in the training-CSV shape."""
-    return synthesize_for(spark.range(n), "id", fraud_rate, seed, start)
+    """``n`` labelled rows of ``users`` users in the training-CSV shape."""
+    return synthesize_for(spark.range(n), "id", fraud_rate, seed, start, users)
 
 
 def synthesize_for(
-    ids: DataFrame, row_id: str, fraud_rate: float = FRAUD_RATE, seed: int = 42, start: str = "2024-01-01 00:00:00"
+    ids: DataFrame,
+    row_id: str,
+    fraud_rate: float = FRAUD_RATE,
+    seed: int = 42,
+    start: str = "2024-01-01 00:00:00",
+    users: int = USERS,
 ) -> DataFrame:
     """One labelled row per whole number in ``ids``; a projection without any shuffle."""
     key = F.col(row_id)
+    digests = [_digest(seed, "row", key, i).alias(f"digest_{i}") for i in range(-(-len(ROW_DRAWS) // 4))]
 
-    def u(salt: str) -> Column:
-        return _uniform(seed, salt, key)
+    def u(name: str) -> Column:
+        place = ROW_DRAWS.index(name)
+        return _uniform(F.col(f"digest_{place // 4}"), place % 4)
 
-    rows = ids.select(
-        key.alias("id"),
-        _integer(u("user"), 0, USERS - 1).alias("user"),
+    rows = ids.select(key.alias("id"), *digests).select(
+        "id",
+        _integer(u("user"), 0, users - 1).alias("user"),
         (u("fraud") < fraud_rate).alias("fraud"),
         _by_share(u("pattern"), PATTERN_SHARES).alias("pattern"),
         _by_share(u("tier"), TIER_SHARES).alias("tier"),
@@ -86,8 +107,8 @@ def synthesize_for(
         _integer(u("second"), 0, 59).alias("second"),
     )
     fraud, pattern, draw = F.col("fraud"), F.col("pattern"), F.col("u_amount")
-    avg = 20 + 180 * _uniform(seed, "avg", F.col("user"))
-    std = 10 + 40 * _uniform(seed, "std", F.col("user"))
+    avg = 20 + 180 * _user_draw(seed, F.col("user"), "avg")
+    std = 10 + 40 * _user_draw(seed, F.col("user"), "std")
     criminal = (
         F.when(pattern == "amount_outlier", avg + std * (5 + 15 * draw))
         .when(pattern == "high_risk_merchant", 100 + 4900 * draw)
@@ -129,10 +150,9 @@ def synthesize_for(
     ).select(*TRAINING_CSV.names)
 
 
-def user_profiles(spark: SparkSession, seed: int = 42) -> DataFrame:
+def user_profiles(spark: SparkSession, seed: int = 42, users: int = USERS) -> DataFrame:
     """``user_id, home_country`` of the synthetic users."""
-    users = spark.range(USERS)
-    return users.select(
+    return spark.range(users).select(
         F.format_string("user-%04d", "id").alias("user_id"),
-        _pick(_uniform(seed, "country", F.col("id").cast("int")), HOME_COUNTRIES).alias("home_country"),
+        _pick(_user_draw(seed, F.col("id"), "country"), HOME_COUNTRIES).alias("home_country"),
     )

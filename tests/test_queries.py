@@ -9,7 +9,7 @@ from check import compare, connect
 from pyspark.sql import functions as F
 
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow")
-WITHOUT_SQL = {"forest_scores", "forest_evaluation", "synthetic_transactions"}
+WITHOUT_SQL = {"forest_scores", "forest_evaluation"}
 
 
 def plan(df):
