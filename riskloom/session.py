@@ -52,7 +52,29 @@ def settle(frame: DataFrame) -> DataFrame:
     It is computed once, later reads see the same rows even if executors are lost, prune columns and
     know the size; and, unlike a checkpointed plan, it is not evaluated a second time for the copy.
     """
-    spark = frame.sparkSession
-    path = new_folder(spark, "table")
+    return _settled(frame, new_folder(frame.sparkSession, "table"))
+
+
+def _settled(frame: DataFrame, path: str) -> DataFrame:
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class Scratch:
+    """Settled tables that only one job reads: leaving the ``with`` block deletes them.
+
+    What outlives the block must be settled outside of it first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, new_folder(spark, "scratch")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def settle(self, frame: DataFrame) -> DataFrame:
+        return _settled(frame, f"{self.folder}/{uuid.uuid4().hex}")
+
+    def __exit__(self, *error) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
