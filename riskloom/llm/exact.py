@@ -24,11 +24,23 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def stored_rows(docs: DataFrame, text: str, key: str, digest) -> DataFrame:
-    """The rows in the shared folder: id, length of the original, normalised text, its digest and state key."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.char_length(raw).alias("chars"), F.regexp_replace(raw, SPACE, "").alias("norm"))
-    return settle(rows.select("doc_id", "chars", "norm", sha(F.col("norm")).alias("text_sha256"), digest(F.col("norm")).alias("digest")))
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
+
+
+def stored_rows(docs: DataFrame, text: str, key: str, digest, path: str, whole: bool) -> DataFrame:
+    """All rows stored in ``path``, those of ``docs`` added: id, length and digest of the text, state key, and the text or the ``whole`` row."""
+    norm = normalised(F.col(text))
+    content = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.col(text)
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("chars"),
+        sha(norm).alias("text_sha256"),
+        digest(norm).alias("digest"),
+        content.alias("content"),
+    )
+    rows.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def located(frame: DataFrame) -> DataFrame:
@@ -41,16 +53,16 @@ def best() -> Column:
     return F.struct("chars", (-F.col("doc_id")).alias("order"), "file", "row", "doc_id")
 
 
-def state_of(rows: DataFrame) -> DataFrame:
+def state_of(rows: DataFrame, folder: str) -> DataFrame:
     """(digest, keep, n): the stream's last state of each digest.
 
     A streaming aggregation without watermark keeps its state for good, in RocksDB on disk with
     changelog and snapshots in the shared folder; batches replace their own output, so one may be repeated.
+    A second run over the same ``folder`` goes on from the first one's state and reads only new files.
     """
     spark = rows.sparkSession
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    out, before = new_folder(spark, "state"), {name: spark.conf.get(name, None) for name in STORE}
-    stream = located(spark.readStream.schema(rows.schema).parquet(path))
+    out, before = f"{folder}/state", {name: spark.conf.get(name, None) for name in STORE}
+    stream = located(spark.readStream.schema(rows.schema).parquet(f"{folder}/rows"))
     state = stream.groupBy("digest").agg(F.max(best()).alias("keep"), F.count(F.lit(1)).alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
@@ -59,7 +71,7 @@ def state_of(rows: DataFrame) -> DataFrame:
     for name, value in STORE.items():
         spark.conf.set(name, value)
     try:
-        query = state.writeStream.outputMode("update").option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True)
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True)
         query.foreachBatch(put).start().awaitTermination()
     finally:
         for name, value in before.items():
@@ -70,18 +82,33 @@ def state_of(rows: DataFrame) -> DataFrame:
     return last.select("digest", "s.keep", "s.n")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest=sha) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest=sha, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, file and row of its content.
 
     ``digest`` makes the state key. Every hit's whole text is compared with that of its entry; texts that
-    only share a key are grouped by their whole bytes instead.
+    only share a key are grouped by their whole bytes instead. ``folder`` holds the texts, the state and the
+    stream's checkpoint; a later call with the same folder adds its documents to those and returns all of them,
+    so a batch should be given once. Without it each call starts anew.
     """
-    rows = stored_rows(docs, text, key, digest)
+    folder = folder or new_folder(docs.sparkSession, "exact")
+    rows = stored_rows(docs, text, key, digest, f"{folder}/rows", False)
+    return decided(rows, normalised(F.col("content")), folder)
+
+
+def distinct(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows that stay, whole, chosen by the place of their content: exactly one of each group."""
+    folder = new_folder(docs.sparkSession, "exact")
+    rows = stored_rows(docs, text, key, sha, f"{folder}/rows", True)
+    kept = decided(rows, normalised(F.col("content")[text]), folder).where("kept").select("file", "row")
+    return located(rows).join(kept, ["file", "row"], "left_semi").select("content.*")
+
+
+def decided(rows: DataFrame, norm: Column, folder: str) -> DataFrame:
     total = rows.count()
     if not total:
         empty = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, file string, row long"
         return rows.sparkSession.createDataFrame([], empty)
-    state = settle(state_of(rows))
+    state = settle(state_of(rows, folder))
     # Entries with over a thousandth of the rows are fewer than a thousand, whatever the table's size.
     hot = state.where(F.col("n") > total / 1000)
     salts = F.ceil(F.col("n") * 1000 / total).cast("int")
@@ -95,7 +122,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest
     # Whole texts of groups meet once, salted by group size so that no cell has more than about a thousandth of the rows. All of a
     # cell, the entry among them, are equal if its least and greatest text are; cells of one group are held together likewise.
     salted = state.where("n > 1").select("digest", salts.alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    texts = located(rows).select("digest", "norm", "file", "row").join(F.broadcast(hot.select("digest", "n")), "digest", "left")
+    texts = located(rows).select("digest", norm.alias("norm"), "file", "row").join(F.broadcast(hot.select("digest", "n")), "digest", "left")
     spread = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("file", "row"), salts)).cast("int")
     # One way of joining at any size: a broadcast on small tables would hide what the large ones move.
     texts = texts.select("digest", "norm", spread.alias("salt")).join(salted.hint("merge"), ["digest", "salt"])
@@ -109,7 +136,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest
     )
     if not wrong.limit(1).count():
         return right.select(*columns)
-    shared = located(rows).join(wrong, "digest", "left_semi")
+    shared = located(rows).withColumn("norm", norm).join(wrong, "digest", "left_semi")
     exact = shared.groupBy("norm").agg(F.max(best()).alias("keep"), F.count(F.lit(1)).alias("n"))
     split = shared.join(exact, "norm").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), own.alias("kept"), "text_sha256", "file", "row"

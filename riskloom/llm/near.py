@@ -7,20 +7,22 @@ fall in one class. Only the named columns are read; rows without an id take no p
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import settle
+from riskloom.session import Scratch, settle
 
 WORDS, SIMILARITY, BANDS, DEPTH = 5, 0.8, 25, 5
 WORD = re.compile(r"\w+")
-GROUP = 4096
 PIVOTS, MEMBERS = 256, 4096
+MISSED = 1e-6
+HOT = 1000
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +100,18 @@ def overlap(a, b) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def banded(texts: DataFrame, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
-    """(rep, total, band): per text with words the hash of every band, and the size of its bag."""
+def signed(texts: DataFrame, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
+    """(rep, total, bands, sketch): per text with words the size of its bag, the hash of every band, and a byte of every slot, eight to a long."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 bags = [bag(t) for t in part.column("text").to_pylist()]
-                marks = signatures(bags, bands * depth).reshape(len(bags), bands, depth)
+                marks = signatures(bags, bands * depth)
+                sketch = np.zeros((len(bags), -(-bands * depth // 8) * 8), np.uint8)
+                sketch[:, : bands * depth] = marks >> np.uint64(56)
+                marks, sketch = marks.reshape(len(bags), bands, depth), sketch.view(np.int64)
                 keys = np.zeros((len(bags), bands), np.uint64)
                 for j in range(depth):
                     keys = mixed(keys ^ marks[:, :, j])
@@ -117,11 +122,37 @@ def banded(texts: DataFrame, bands: int = BANDS, depth: int = DEPTH) -> DataFram
                         part.column("rep").take(pa.array(full, pa.int64())),
                         pa.array([int(bags[i][1].sum()) for i in full], pa.int64()),
                         pa.array([keys[i].view(np.int64).tolist() for i in full], pa.list_(pa.int64())),
+                        pa.array([sketch[i].tolist() for i in full], pa.list_(pa.int64())),
                     ],
-                    names=["rep", "total", "bands"],
+                    names=["rep", "total", "bands", "sketch"],
                 )
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, total long, bands array<long>").select("rep", "total", F.explode("bands").alias("band"))
+    return texts.select("rep", "text").mapInArrow(run, "rep long, total long, bands array<long>, sketch array<long>")
+
+
+def most_differing(size: int, similarity: float) -> int:
+    """Slots of ``size`` in which texts of ``similarity`` differ: more with a chance of at most MISSED, by Chernoff's bound."""
+    if similarity >= 1:
+        return 0
+    agree = math.floor(size * similarity)
+    while agree > 0:
+        p = agree / size
+        gain = p * math.log(p / similarity) + ((1 - p) * math.log((1 - p) / (1 - similarity)) if p < 1 else 0.0)
+        if size * gain >= -math.log(MISSED):
+            break
+        agree -= 1
+    return size - agree
+
+
+def differing(a: Column, b: Column, longs: int) -> Column:
+    """Bytes in which two sketches differ."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -144,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, settle=settle) -> DataFrame:
     """(rep, root): the least rep joined to each by ``links`` (a, b); label hopping with a table per round."""
     both = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = settle(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
@@ -158,19 +189,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def unsettled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+def in_buckets(rows: DataFrame, buckets: DataFrame, limit: float) -> DataFrame:
+    """``rows`` with what ``buckets`` (band, n, ...) says of their band; those of over ``limit`` rows, fewer than HOT, are broadcast."""
+    hot = buckets.where(F.col("n") > limit)
+    cold = rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(buckets.where(F.col("n") <= limit), "band")
+    return rows.join(F.broadcast(hot), "band").unionByName(cold)
+
+
+def unsettled(rows: DataFrame, roots: DataFrame | None, limit: float) -> DataFrame:
     """``rows`` of the buckets that still hold several roots, with each row's root and whether it is the bucket's commonest."""
     if roots is None:
         named = rows.withColumn("root", F.col("rep"))
     else:
         named = rows.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    per = named.groupBy("band", "root").count().groupBy("band")
-    mixed_ = per.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")
-    return named.join(mixed_, "band").select("band", "rep", "total", "n", "turn", "root", (F.col("root") == F.col("main")).alias("common"))
+    per = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("n")).groupBy("band")
+    mixed_ = per.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots"), F.max("n").alias("n"))
+    found = in_buckets(named.drop("n"), mixed_.where("n_roots > 1"), limit)
+    return found.select("band", "rep", "n", "turn", "root", (F.col("root") == F.col("main")).alias("common"))
 
 
-def candidates(rows: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes allow ``similarity``.
+def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: int) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes and sketches allow ``similarity``.
 
     Two texts of the bucket's commonest root are never put side by side. Each side is cut into blocks, so that
     a large bucket goes to many tasks.
@@ -186,12 +225,16 @@ def candidates(rows: DataFrame, low: int, high: int, similarity: float) -> DataF
 
     pivots = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
     pivots = pivots.withColumn("part", block(parts)).withColumn("slice", each(slices))
-    pivots = pivots.select("band", "part", "slice", F.col("rep").alias("p"), F.col("total").alias("size"), F.col("root").alias("at"), F.col("common").alias("main"))
+    own = [F.col(c).alias(f"pivot_{c}") for c in ("rep", "total", "root", "common", "sketch")]
+    pivots = pivots.select("band", "part", "slice", *own)
     members = rows.withColumn("slice", block(slices)).withColumn("part", each(parts)).drop("n", "turn")
-    differ = (F.col("root") != F.col("at")) & (F.least("total", "size") >= F.lit(similarity) * F.greatest("total", "size"))
+    close = F.least("total", "pivot_total") >= F.lit(similarity) * F.greatest("total", "pivot_total")
+    alike = differing(F.col("sketch"), F.col("pivot_sketch"), -(-size // 8)) <= most_differing(size, similarity)
+    differ = (F.col("root") != F.col("pivot_root")) & close & alike
     key = ["band", "part", "slice"]
-    met = members.where("NOT common").join(pivots, key).where(differ).unionByName(members.where("common").join(pivots.where("NOT main"), key).where(differ))
-    return met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    met = members.where("NOT common").join(pivots, key).where(differ)
+    met = met.unionByName(members.where("common").join(pivots.where("NOT pivot_common"), key).where(differ))
+    return met.select(F.least("rep", "pivot_rep").alias("a"), F.greatest("rep", "pivot_rep").alias("b")).distinct()
 
 
 def classes(
@@ -208,37 +251,47 @@ def assigned(
 
     Equal texts (by their words in order) are one text, with a number of its own as ``rep``, so that texts which share
     an id stay apart. In a bucket of a band every text is compared with the bucket's least rep, then with four, sixteen,
-    ... more of its texts, placed or not. A pair is left out only once both texts have the same root, and a bucket is
-    done when all have or every pair has had its turn. n_links counts the links so found, not all pairs of a class.
+    ... more of its texts, placed or not. A pair is left out only once both texts have the same root, or if more bytes of
+    their signatures differ than those of similar texts do but for one pair in 1 / MISSED; a bucket is
+    done when all have one root or every pair has had its turn. n_links counts the links so found, not all pairs of a class.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    digest = F.sha2("text", 256)
-    keyed = source.select("doc_id", digest.alias("digest"))
+    keyed = source.select("doc_id", F.sha2("text", 256).alias("digest"))
+    with Scratch(docs.sparkSession) as scratch:
+        known = settle(grouped(source, keyed, similarity, bands, depth, scratch.settle))
+    return attach(keyed, known, F.sha2(F.lit(""), 256))
+
+
+def grouped(source: DataFrame, keyed: DataFrame, similarity: float, bands: int, depth: int, settle) -> DataFrame:
+    """(digest, class_id, class_digest, n_links) per different text; ``settle`` keeps what this reads more than once."""
     # Partial aggregation leaves one narrow row per text and task, also for a text that a third of the rows share.
     least = settle(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
     reps = settle(least.withColumn("rep", F.monotonically_increasing_id()))
-    texts = source.withColumn("digest", digest).join(reps, ["doc_id", "digest"])
-    texts = settle(texts.select("rep", "text").dropDuplicates(["rep"]))
-    rows = settle(banded(texts, bands, depth))  # read twice, computed once
+    texts = source.withColumn("digest", F.sha2("text", 256)).join(reps, ["doc_id", "digest"])
+    # By the keys of the join, so that whole texts are shuffled once.
+    texts = settle(texts.dropDuplicates(["doc_id", "digest"]).select("rep", "text"))
+    marks = settle(signed(texts, bands, depth))
+    rows = marks.select("rep", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+    limit = marks.count() * bands / HOT  # fewer than HOT buckets are larger
     # The least rep of a bucket is its first pivot, the others take their turn by a draw between 0 and the bucket's size.
     turn = F.when(F.col("rep") == F.col("least"), -1.0).otherwise(F.pmod(F.xxhash64("rep"), F.lit(1 << 31)) / float(1 << 31) * F.col("n"))
-    rows = settle(rows.join(shared, "band").select("band", "rep", "total", "n", turn.alias("turn")))
+    rows = settle(in_buckets(rows, settle(shared), limit).select("band", "rep", "n", turn.alias("turn")))
     links = roots = tried = None
     low, high = -1, 0
     while True:
-        open_rows = settle(unsettled(rows, roots))
+        open_rows = settle(unsettled(rows, roots, limit).join(marks.select("rep", "total", "sketch"), "rep"))
         if not open_rows.limit(1).count():
             break
-        pairs = settle(candidates(open_rows, low, high, similarity))
+        pairs = settle(candidates(open_rows, low, high, similarity, bands * depth))
         if tried is not None:
             pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         found = settle(verified(pairs, texts, similarity))
         links = found if links is None else settle(links.union(found))
-        roots = components(links)
+        roots = components(links, settle)
         # A bucket all of whose texts have been pivots is done; rows of one root alone are never compared.
-        rows = open_rows.where(F.col("n") > high).select("band", "rep", "total", "n", "turn")
+        rows = open_rows.where(F.col("n") > high).select("band", "rep", "n", "turn")
         low, high = high, max(4, 4 * high)
     if links is None:
         links = rows.sparkSession.createDataFrame([], "a long, b long")
@@ -247,13 +300,12 @@ def assigned(
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = reps.join(roots, "rep", "left").join(degree, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     first = known.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
-    known = known.join(first, "root").select(
+    return known.join(first, "root").select(
         "digest",
         F.col("first.doc_id").alias("class_id"),
         F.col("first.digest").alias("class_digest"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    return attach(keyed, settle(known), F.sha2(F.lit(""), 256))
 
 
 def attach(keyed: DataFrame, known: DataFrame, empty) -> DataFrame:

@@ -113,12 +113,17 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict:
-    """The network of at most ``sample`` labelled documents, those whose ids have the least hashes."""
+    """The network of at most ``sample`` labelled documents, those whose ids have the least hashes.
+
+    Of rows that share an id the text with the least digest is learned, so that the bound holds for rows.
+    """
     marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     ids = source.select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = source.join(F.broadcast(ids), "doc_id")  # at most `sample` narrow rows
+    rows = source.join(F.broadcast(ids), "doc_id")  # at most `sample` ids
+    # Partial aggregation leaves one text per id and task.
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), "text")).alias("text"))
 
     def run(batches):
         for batch in batches:
