@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from riskloom.llm import exact, language, near, packing, secrets
 from riskloom.llm.queries import WORDS, read, vocabulary
 from riskloom.session import settle
 
+FRESH = uuid.uuid4().hex  # helper columns must not meet a document's own
 ORACLE_SQL = None  # compression and signatures have no SQL form; tests compare with brute force
 
 
@@ -18,23 +21,17 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest id. Rows without an id are told apart by their text only."""
-    kept = exact.deduplicate(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    digest = exact.sha(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), exact.SPACE, ""))
-    length = F.char_length(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), "left_semi")
-    # A repeated id may bring its other rows back in; one row per id and text stays, the longest.
-    rows = rows.withColumns({"_d": digest, "_n": length})
-    best = F.max(F.struct("_n", F.struct(*[F.col(c) for c in docs.columns]).alias("r"))).alias("best")
-    twice = rows.groupBy("doc_id", "_d").agg(best)
-    return twice.select("best.r.*")
+    """Of equal texts the longest original, then the smallest id: one row each, chosen by its place in the stored table."""
+    return exact.distinct(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies, by id and text; rows without an id stay."""
-    gone = near.assigned(docs).where("doc_id <> class_id OR digest <> class_digest").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha")).distinct()
+    gone = near.assigned(docs).where("doc_id <> class_id OR digest <> class_digest")
+    gone = gone.select(F.col("doc_id").alias(f"id_{FRESH}"), F.col("digest").alias(f"digest_{FRESH}")).distinct()
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(gone, (docs["doc_id"] == F.col("_id")) & (digest == F.col("_sha")), "left_anti").select(*docs.columns)
+    same = (docs["doc_id"] == F.col(f"id_{FRESH}")) & (digest == F.col(f"digest_{FRESH}"))
+    return docs.join(gone, same, "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
