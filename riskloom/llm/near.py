@@ -23,6 +23,7 @@ WORD = re.compile(r"\w+")
 PIVOTS, MEMBERS = 256, 4096
 MISSED = 1e-6
 HOT = 1000
+FEW = 1_000_000  # numbers of texts that may be broadcast, eight bytes each
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +157,13 @@ def differing(a: Column, b: Column, longs: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose bags overlap by ``similarity`` or more, read from the whole texts."""
+    """Pairs (a, b) whose bags overlap by ``similarity`` or more, read from the whole texts.
+
+    If at most FEW texts are in pairs, which is counted, only theirs are shuffled; beyond that, all are.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if named.limit(FEW + 1).count() <= FEW:
+        texts = texts.join(F.broadcast(named), "rep", "left_semi")
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
 
@@ -232,6 +239,9 @@ def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: in
     alike = differing(F.col("sketch"), F.col("pivot_sketch"), -(-size // 8)) <= most_differing(size, similarity)
     differ = (F.col("root") != F.col("pivot_root")) & close & alike
     key = ["band", "part", "slice"]
+    # Blocks are bounded in rows, and comparing them costs more than their bytes tell: tasks are not merged by size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members, pivots = members.repartition(tasks, *key), pivots.repartition(tasks, *key)
     met = members.where("NOT common").join(pivots, key).where(differ)
     met = met.unionByName(members.where("common").join(pivots.where("NOT pivot_common"), key).where(differ))
     return met.select(F.least("rep", "pivot_rep").alias("a"), F.greatest("rep", "pivot_rep").alias("b")).distinct()
