@@ -7,6 +7,7 @@ fall in one class. Only the named columns are read; rows without an id take no p
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -19,33 +20,63 @@ from pyspark.sql import functions as F
 from riskloom.session import Scratch, settle
 
 WORDS, SIMILARITY, BANDS, DEPTH = 5, 0.8, 25, 5
-WORD = re.compile(r"\w+")
 PIVOTS, MEMBERS = 256, 4096
 MISSED = 1e-6
+GAP, PIECE = re.compile(r"\W"), 1 << 18
+BATCH, POINTS, AT_ONCE = 1 << 18, 4096, 16
+STEP = np.uint64(0x9FB21C651E98DF25)  # odd, so that words or runs that differ in one place differ
 HOT = 1000
 FEW = 1_000_000  # numbers of texts that may be broadcast, eight bytes each
 
 
+@functools.cache
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point a 64-bit value, and whether it belongs to a word."""
+    return mixed(np.arange(0x110000, dtype=np.uint64)), np.fromiter((chr(c).isalnum() or c == 0x5F for c in range(0x110000)), bool, 0x110000)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of every word, in order: the values of its letters times powers of STEP, added up at 64 bits."""
+    values, in_word = letters()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = in_word[points]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(lengths.max(), STEP, np.uint64))
+    offset = np.arange(starts[-1] + lengths[-1]) - np.repeat(starts, lengths)
+    return mixed(np.add.reduceat(values[points[inside]] * powers[offset], starts))
+
+
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the text's word runs, sorted, and their counts."""
-    found = WORD.findall((text or "").lower())
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(found) < WORDS:
-        runs = [" ".join(found)]
-    else:
-        runs = [" ".join(found[i : i + WORDS]) for i in range(len(found) - WORDS + 1)]
-    hashes = np.array([xxhash.xxh3_64_intdigest(run) for run in runs], np.uint64)
-    return np.unique(hashes, return_counts=True)
+    text, pieces, start = (text or "").lower(), [], 0
+    while start < len(text):  # pieces end between words, so that a long text needs little memory at once
+        cut = GAP.search(text, start + PIECE)
+        end = cut.start() if cut else len(text)
+        pieces.append(word_hashes(text[start:end]))
+        start = end
+    words = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
+    if not len(words):
+        return words, np.zeros(0, np.int64)
+    length = min(len(words), WORDS)
+    runs = np.full(len(words) - length + 1, length, np.uint64)
+    for j in range(length):
+        runs = runs * STEP + words[j : j + len(runs)]
+    return np.unique(mixed(runs), return_counts=True)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of each value."""
-    with np.errstate(over="ignore"):
-        x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
@@ -73,22 +104,30 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
     if not owner:
         return marks
     owner, seed, low, width, weight = map(np.concatenate, (owner, seed, low, width, weight))
-    at, step = np.zeros(len(owner)), 0
-    live = np.arange(len(owner))
+    at, rate = np.zeros(len(owner)), size * width.astype(float)
     flat_times, flat_marks = times.reshape(-1), marks.reshape(-1)
-    while len(live):
-        step += 1
-        draw = mixed(seed[live] ^ mixed(np.full(len(live), step, np.uint64)))
-        unit = ((draw >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
-        at[live] -= np.log(unit) / (size * width[live])
+    step = 0
+    while len(owner):
+        # Few processes draw several points at once; which points there are does not depend on that.
+        count = 1 if len(owner) > POINTS else AT_ONCE
+        draw = mixed(seed[:, None] ^ mixed(np.arange(step, step + count, dtype=np.uint64)))
+        step += count
+        gaps = np.log(((draw >> np.uint64(11)).astype(float) + 0.5) / 2.0**53) / rate[:, None]
+        whens = at[:, None] - (gaps if count == 1 else np.cumsum(gaps, axis=1))
+        at = whens[:, -1]
         second = mixed(draw)
-        slot = owner[live] * size + (second % np.uint64(size)).astype(int)
-        place = low[live] + 1 + ((second >> np.uint64(20)) % width[live].astype(np.uint64)).astype(int)
-        hit = (place <= weight[live]) & (at[live] < flat_times[slot])
-        slots, when, value = slot[hit], at[live][hit], second[hit]
-        order = np.argsort(-when, kind="stable")  # the earliest is written last
-        flat_times[slots[order]], flat_marks[slots[order]] = when[order], value[order]
-        live = live[at[live] < times.max(axis=1)[owner[live]]]
+        slot = (owner * size)[:, None] + ((second >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+        hit = whens < flat_times[slot]
+        wide, point = np.nonzero(hit & (width > 1)[:, None])
+        place = low[wide] + 1 + ((second[wide, point] & np.uint64(0xFFFFFFFF)) % width[wide].astype(np.uint64)).astype(np.int64)
+        hit[wide, point] = place <= weight[wide]
+        slots, when, value = slot[hit], whens[hit], second[hit]
+        np.minimum.at(flat_times, slots, when)
+        first = when == flat_times[slots]
+        flat_marks[slots[first]] = value[first]
+        live = at < times.max(axis=1)[owner]
+        if not live.all():
+            owner, seed, low, width, weight, rate, at = (x[live] for x in (owner, seed, low, width, weight, rate, at))
     return marks
 
 
@@ -101,13 +140,22 @@ def overlap(a, b) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def in_parts(batch: pa.RecordBatch):
+    """Consecutive slices of at most BATCH characters of text, a longer text alone."""
+    sizes = np.cumsum([len(t or "") for t in batch.column("text").to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BATCH, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def signed(texts: DataFrame, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
     """(rep, total, bands, sketch): per text with words the size of its bag, the hash of every band, and a byte of every slot, eight to a long."""
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in in_parts(batch):
                 bags = [bag(t) for t in part.column("text").to_pylist()]
                 marks = signatures(bags, bands * depth)
                 sketch = np.zeros((len(bags), -(-bands * depth // 8) * 8), np.uint8)

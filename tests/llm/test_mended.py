@@ -1,13 +1,16 @@
-"""Operators mended this round: words encoded once, snippets from anywhere, vectors of several lengths and large components."""
+"""Operators mended this round: words encoded once, snippets from anywhere, vectors of several lengths and large components, bags and signatures."""
 
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, packing, topk
+from riskloom.llm import language, near, packing, topk
 from riskloom.llm.queries import WORDS, vocabulary
 
 
@@ -60,3 +63,34 @@ def test_topk_of_lengths_and_large_components(spark, large):
     assert {tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()} == want
     none = topk.quantised(table.limit(0))
     assert topk.top_k(none, none).count() == 0
+
+
+def test_bags_count_the_runs_of_plain_words():
+    texts = ["", None, "a", "A b", "É_x ß İstanbul ΣΑΣ 日本 語 x² a-b", "a " * 30_000, "b" * 300_000 + " c", "\ud800 á b", "one two three four five six one two three four five"]
+    for text in texts:
+        words = re.findall(r"\w+", (text or "").lower())
+        size = min(len(words), 5)
+        runs = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else {}
+        hashes, counts = near.bag(text)
+        assert sorted(counts.tolist()) == sorted(runs.values()) and len(set(hashes.tolist())) == len(runs)
+    left, right = near.bag("Zwei  Wörter und, noch drei"), near.bag("zwei wörter\nund noch DREI")
+    assert left[0].tolist() == right[0].tolist()
+    longer = near.bag("w " * near.PIECE + "v u")
+    assert longer[1].sum() == near.PIECE + 2 - 4
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    bags = [(np.unique(rng.integers(1, 2**63, n).astype(np.uint64)), None) for n in (1, 3, 40, 900, 9000)]
+    bags = [(hashes, rng.integers(1, 6, len(hashes))) for hashes, _ in bags] + [near.bag("")]
+    together = near.signatures(bags, 125)
+    for i, one in enumerate(bags):
+        assert (near.signatures([one], 125)[0] == together[i]).all()
+
+
+def test_parts_of_a_batch_hold_every_row_once():
+    texts = ["x" * n for n in (5, near.BATCH, 7, near.BATCH * 2, 1, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [part.column("text").to_pylist() for part in near.in_parts(batch)]
+    assert [t for part in parts for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= near.BATCH for part in parts)
