@@ -423,7 +423,8 @@ def alert_illegal(spark, folder):
 
 @query
 def dashboard_kpis(spark, folder):
-    rows = settle(t.stored_transactions(spark, folder))
+    needed = ("transaction_id", "ts", "is_fraud", "status", "deleted_at", "ensemble_score", "threshold", "classification", "created_at")
+    rows = settle(t.stored_transactions(spark, folder).select(*needed))
     return dashboard.dashboard_kpis(rows, rows, alerts_from_scores(rows), t.model_runs_of(rows))
 
 
@@ -627,14 +628,13 @@ def drift_report(spark, folder):
     return drift.drift_report(*_halves(spark, folder)).withColumn("psi", F.round("psi", 9))
 
 
-def _feature_samples(spark, folder):
-    rows = settle(t.features(spark, folder))
-    return drift.split_samples(rows, F.col("ts") < t.split_day(), FEATURES)
+def _feature_drift(spark, folder):
+    return drift.split_drift(t.features(spark, folder), F.col("ts") < t.split_day(), FEATURES, threshold=0.005)
 
 
 @query
 def feature_drift(spark, folder):
-    return drift.feature_drift(_feature_samples(spark, folder), threshold=0.005)
+    return _feature_drift(spark, folder)
 
 
 @query
@@ -665,7 +665,7 @@ def retraining(spark, folder):
 
 @query
 def retraining_recommendation(spark, folder):
-    found = drift.feature_drift(_feature_samples(spark, folder), threshold=0.005)
+    found = _feature_drift(spark, folder)
     return drift.retraining_recommendation(found, binary_metrics(spark, folder))
 
 

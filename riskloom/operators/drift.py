@@ -2,6 +2,8 @@
 
 Samples come in one shape, ``feature, is_reference, value``, so a single pair of jobs serves one score
 column or all ten features: the first finds each feature's range and means, the second counts bins.
+Where one table has both sides (``split_drift``), the first job reads its columns side by side, and only
+the second takes rows apart.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from riskloom.schemas import (
     RECENT_SCORES,
     RECENT_WINDOW,
 )
+from riskloom.session import settle
 
 VALUE = "value"
 
@@ -56,17 +59,33 @@ def bin_of(value: Column, lo: Column, hi: Column, bins: int = PSI_BINS) -> Colum
     return sum((F.when(value >= lo + step * float(i), 1).otherwise(0) for i in range(1, bins)), F.lit(0))
 
 
-def sample_stats(long: DataFrame) -> DataFrame:
-    """Per feature: pooled range, and count and mean of each side."""
-    reference, current = F.when(F.col("is_reference"), F.col("value")), F.when(~F.col("is_reference"), F.col("value"))
-    return long.groupBy("feature").agg(
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
+def _measures(value: Column, is_reference: Column) -> list[Column]:
+    """Pooled range, and count and mean of each side."""
+    reference, current = F.when(is_reference, value), F.when(~is_reference, value)
+    return [
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
         F.count(reference).alias("n_reference"),
         F.count(current).alias("n_current"),
         F.avg(reference).alias("mean_reference"),
         F.avg(current).alias("mean_current"),
-    )
+    ]
+
+
+def sample_stats(long: DataFrame) -> DataFrame:
+    """Per feature: pooled range, and count and mean of each side."""
+    return long.groupBy("feature").agg(*_measures(F.col("value"), F.col("is_reference")))
+
+
+def wide_stats(df: DataFrame, is_reference: Column, columns: Sequence[str]) -> DataFrame:
+    """``sample_stats`` of the columns of one table, all in one aggregate without taking rows apart."""
+    sided = df.select(is_reference.alias("is_reference"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    sided = sided.filter(F.col("is_reference").isNotNull())
+    found = [
+        F.struct(F.lit(c).alias("feature"), *_measures(F.col(f"v{i}"), F.col("is_reference"))) for i, c in enumerate(columns)
+    ]
+    # A feature without values has no row, as in ``sample_stats``.
+    return sided.agg(F.array(*found).alias("found")).select(F.inline("found")).filter("n_reference + n_current > 0")
 
 
 def histogram(long: DataFrame, stats: DataFrame) -> DataFrame:
@@ -78,13 +97,13 @@ def histogram(long: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def feature_psi(long: DataFrame) -> DataFrame:
-    """Per feature: the statistics and ``psi``.
+def feature_psi(long: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Per feature: the statistics (``sample_stats`` unless given) and ``psi``.
 
     A bin empty on both sides adds (e - e) * ln(1) = 0, so only occupied bins are summed; they are
     summed in bin order, whatever order they arrive in.
     """
-    stats = sample_stats(long)
+    stats = sample_stats(long) if stats is None else stats
     parts = histogram(long, stats).join(F.broadcast(stats), "feature")
     p = F.col("in_reference") / F.greatest("n_reference", F.lit(1)) + PSI_EPSILON
     q = F.col("in_current") / F.greatest("n_current", F.lit(1)) + PSI_EPSILON
@@ -102,10 +121,10 @@ def _drift_score(psi: Column) -> Column:
     return F.least(psi * DRIFT_FACTOR, F.lit(100.0))
 
 
-def feature_drift(long: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+def feature_drift(long: DataFrame, threshold: float = DRIFT_THRESHOLD, stats: DataFrame | None = None) -> DataFrame:
     """One row per feature: psi and means (4 decimals), score (2 decimals), drifted or not."""
     score = _drift_score(F.col("psi"))
-    return feature_psi(long).select(
+    return feature_psi(long, stats).select(
         "feature",
         round_exact(F.col("psi"), 4).alias("psi"),
         round_exact(F.coalesce("mean_reference", F.lit(0.0)), 4).alias("reference_mean"),
@@ -115,6 +134,16 @@ def feature_drift(long: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFr
     )
 
 
+def split_drift(df: DataFrame, is_reference: Column, columns: Sequence[str], threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """``feature_drift`` of one table whose rows say themselves which side they belong to.
+
+    Only the columns and the side are kept, in a narrow table that both jobs read.
+    """
+    narrow = settle(df.select(is_reference.alias("is_reference"), *columns))
+    stats = settle(wide_stats(narrow, F.col("is_reference"), columns))
+    return feature_drift(split_samples(narrow, F.col("is_reference"), columns), threshold, stats)
+
+
 def drift_report(reference: DataFrame, current: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """One row for two samples with a ``value`` column; all zero if either sample is empty."""
     return drift_of(samples(reference, current, [VALUE]), threshold)

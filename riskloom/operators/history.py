@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.skew import HOT_LIMIT, SLIDING_LIMIT, Split, ordered_scan, split_hot, two_level_scan
 from riskloom.schemas import WINDOW_1H, WINDOW_5MIN
+from riskloom.session import settle
 
 
 def user_history(df: DataFrame, *, user="user_id", amount="amount", label: str | None = "is_fraud") -> DataFrame:
@@ -80,14 +81,18 @@ def hot_velocity(split: Split, windows: Mapping[str, int], *, user="user_id", ts
     window, so endings sort behind rows of the same time.  The cost does not depend on how many rows
     a window holds, which a sliding frame's does.
     """
-    df = split.hot
+    df = settle(split.hot)  # read for the points and again for the result
     per_time = df.filter(F.col(ts).isNotNull()).groupBy(user, ts).agg(F.count(F.lit(1)).alias("__n"))
     steps = {f"__step_{i}": name for i, name in enumerate(windows)}
-    points = per_time.select(user, F.col(ts).alias("__at"), F.lit(0).alias("__mark"), *[F.col("__n").alias(s) for s in steps])
+
+    def point(at: Column, mark: int, **changes: Column) -> Column:
+        return F.struct(at.alias("__at"), F.lit(mark).alias("__mark"), *[changes.get(s, F.lit(0).cast("long")).alias(s) for s in steps])
+
+    points = [point(F.col(ts), 0, **{s: F.col("__n") for s in steps})]
     for i, seconds in enumerate(windows.values()):
-        back = [F.when(F.lit(s == f"__step_{i}"), -F.col("__n")).otherwise(F.lit(0)).alias(s) for s in steps]
         ends = F.col(ts) + F.expr(f"INTERVAL '{int(seconds)}' SECOND")
-        points = points.unionByName(per_time.select(user, ends.alias("__at"), F.lit(i + 1).alias("__mark"), *back))
+        points.append(point(ends, i + 1, **{f"__step_{i}": -F.col("__n")}))
+    points = per_time.select(user, F.inline(F.array(*points)))
     before = {f"__before{s}": ("sum", F.col(s)) for s in steps}
     walked = two_level_scan(points, [user], ["__at", "__mark"], split.n_keys, prior=before)
     counts = walked.filter(F.col("__mark") == 0).select(

@@ -62,6 +62,20 @@ def test_feature_drift(spark):
     assert rows(found, "feature", "psi", "drift_detected") == [(k, round(v, 4), v * DRIFT_FACTOR > DRIFT_THRESHOLD) for k, v in psi.items()]
 
 
+def test_split_drift_equals_the_long_form(spark):
+    rng = random.Random(9)
+    data = [(rng.choice([True, False, None]), rng.choice([None, rng.gauss(0, 1)]), float(i % 7), None) for i in range(400)]
+    df = spark.createDataFrame(data, "side boolean, a double, b double, nothing double")
+    columns = ["a", "b", "nothing"]
+    long = drift.split_samples(df, F.col("side"), columns)
+    names = ("feature", "psi", "reference_mean", "current_mean", "drift_score", "drift_detected")
+    got = drift.split_drift(df, F.col("side"), columns)
+    assert rows(got, *names) == rows(drift.feature_drift(long), *names) and got.count() == 2
+    stats = ("feature", "lo", "hi", "n_reference", "n_current")
+    assert rows(drift.wide_stats(df, F.col("side"), columns), *stats) == rows(drift.sample_stats(long), *stats)
+    assert drift.split_drift(df.limit(0), F.col("side"), columns).count() == 0
+
+
 def scores(spark, n):
     at = datetime(2024, 1, 1)
     return spark.createDataFrame([(i, float(i), at + timedelta(seconds=i)) for i in range(n)], "transaction_id long, ensemble_score double, created_at timestamp_ntz")
