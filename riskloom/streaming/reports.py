@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from riskloom.operators.reports import parse_requests
 from riskloom.schemas import BACKOFF_BASE, MAX_RETRIES
 from riskloom.sources.tables import read_store, store_batch
-from riskloom.streaming.clock import event_time, instant_of, state_on_disk
+from riskloom.streaming.clock import GROUPS, event_time, group_of, instant_of, next_timer, passed, put_back, state_on_disk
 
 RETRIES = "transaction_id long, outcome string, retry_count int, at long, error string"
 
@@ -57,17 +57,21 @@ def request_sink(lines: DataFrame, path: str, checkpoint: str, text: str = "valu
 
 
 class Retries(StatefulProcessor):
-    """State of a request: the attempts that wait for their time, by due time and number."""
+    """State of a group of requests: the attempts that wait for their time, an attempt being a request, a due time and a number.
 
-    def __init__(self, columns: list[str], max_retries: int, base: int):
-        self.max_retries, self.base = max_retries, base
+    Many requests share a state and its timers, since each call to the store costs more than an attempt.
+    """
+
+    def __init__(self, max_retries: int, base: int, event_clock: bool):
+        self.max_retries, self.base, self.event_clock = max_retries, base, event_clock
         self.row = Row("transaction_id", "outcome", "retry_count", "at", "error")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, retry_count int", "error string")
+        self.waiting = handle.getListState("waiting", "transaction_id long, at long, retry_count int, error string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fresh = []
         for row in rows:
             if row["transaction_id"] is None or row["__at"] is None:
                 continue
@@ -75,25 +79,33 @@ class Retries(StatefulProcessor):
             if tried >= self.max_retries:
                 yield self.row(row["transaction_id"], "failed", tried, row["__at"], row["error"])
             else:
-                due = row["__at"] + 1_000_000 * self.base ** (tried + 1)
-                self.waiting.updateValue((due, tried + 1), (row["error"],))
-                self.handle.registerTimer(-(-due // 1000))
+                fresh.append((row["transaction_id"], row["__at"] + 1_000_000 * self.base ** (tried + 1), tried + 1, row["error"]))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self.handle.registerTimer(next_timer(due for _, due, _, _ in fresh))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        upto = 1000 * expiredTimerInfo.getExpiryTimeInMs()
-        for (due, number), (error,) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= upto):
-            self.waiting.removeKey((due, number))
-            yield self.row(key[0], "retry", number, due, error)
+        clock = timerValues.getCurrentWatermarkInMs() if self.event_clock else timerValues.getCurrentProcessingTimeInMs()
+        upto = passed(clock, expiredTimerInfo)
+        waiting = {tuple(row[:3]): row[3] for row in self.waiting.get()}
+        later = [(*place, error) for place, error in waiting.items() if place[1] > upto]
+        if len(later) < len(waiting):
+            put_back(self.handle, self.waiting, later, (place[1] for place in later))
+        for (name, due, number), error in waiting.items():
+            if due <= upto:
+                yield self.row(name, "retry", number, due, error)
 
 
 def retry_timers(
-    attempts: DataFrame, *, max_retries: int = MAX_RETRIES, base: int = BACKOFF_BASE, late: str = "0 seconds", event_clock: bool = False
+    attempts: DataFrame, *, max_retries: int = MAX_RETRIES, base: int = BACKOFF_BASE, late: str = "0 seconds", event_clock: bool = False,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Failed attempts (``transaction_id, retry_count, error, failed_at``) as what comes next: (…, outcome, retry_count, at, error).
 
     The n-th retry comes out ``base ** n`` seconds after the failure, by timers of the machine's clock or, with
     ``event_clock``, of the watermark of ``failed_at``, for replays. (A stream on the machine's clock
     does not end by itself: run it with a trigger by time.) An attempt out of retries comes out at once as failed.
+    State is kept by ``groups`` groups of requests.
     """
     state_on_disk(attempts.sparkSession)
     kind = attempts.schema["failed_at"].dataType
@@ -101,7 +113,7 @@ def retry_timers(
     if event_clock:
         timed = timed.withWatermark("failed_at", late)
     keyed = timed.select(F.col("transaction_id").cast("long").alias("transaction_id"), F.col("retry_count").cast("int").alias("retry_count"), "error", "failed_at")
-    keyed = keyed.withColumn("__at", instant_of(F.col("failed_at"), keyed.schema["failed_at"].dataType))
+    keyed = keyed.withColumn("__at", instant_of(F.col("failed_at"), keyed.schema["failed_at"].dataType)).withColumn("__group", group_of("transaction_id", groups))
     mode = "EventTime" if event_clock else "ProcessingTime"
-    found = keyed.groupBy("transaction_id").transformWithState(Retries(keyed.columns, max_retries, base), RETRIES, "append", mode)
+    found = keyed.groupBy("__group").transformWithState(Retries(max_retries, base, event_clock), RETRIES, "append", mode)
     return found.withColumn("at", back(F.timestamp_micros("at")).cast(kind))

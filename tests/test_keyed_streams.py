@@ -260,3 +260,63 @@ def test_actions_wait_for_the_watermark(spark, tmp_path, action):
     assert run_in_parts(spark, f"{tmp_path}/m", ACTIONS, parts, build, f"{tmp_path}/out").count() == 0
     out = run_in_parts(spark, f"{tmp_path}/m", ACTIONS, [[(None, None, None, None, None, seconds(200))]], build, f"{tmp_path}/out")
     assert rows(out, "action_id", "previous_status") == [("0", "open"), ("1", "resolved")]
+
+
+class Calls:
+    """A state and its handle that count what a processor asks of the store."""
+
+    def __init__(self):
+        self.n, self.rows = 0, []
+
+    def getListState(self, *_):
+        return self
+
+    getMapState = getValueState = getListState
+
+    def appendList(self, rows):
+        self.n, self.rows = self.n + 1, self.rows + rows
+
+    def put(self, rows):
+        self.n, self.rows = self.n + 1, rows
+
+    def get(self):
+        self.n += 1
+        return iter(self.rows)
+
+    def registerTimer(self, at):
+        self.n += 1
+
+    def clear(self):
+        self.n, self.rows = self.n + 1, []
+
+
+class Clock:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def test_the_store_is_asked_per_group_not_per_attempt():
+    calls = Calls()
+    processor = report_streams.Retries(3, 3, True)
+    processor.init(calls)
+    part = [{"transaction_id": i, "retry_count": 0, "error": "e", "__at": 1_000_000 * i} for i in range(1000)]
+    assert list(processor.handleInputRows((0,), iter(part), Clock(0))) == []
+    out = list(processor.handleExpiredTimer((0,), Clock(500_000), Clock(3000)))
+    assert sorted(r.transaction_id for r in out) == list(range(497)) and len(calls.rows) == 503
+    assert calls.n <= 6
+
+
+def test_requests_of_one_group_come_when_due(spark, tmp_path):
+    """One group gives in each run what groups of one request give, at the very millisecond and with repeated attempts too."""
+    parts = [
+        [(1, 0, "a", seconds(0)), (2, 0, "b", seconds(1)), (5, 1, "e", seconds(1)), (5, 1, "e", seconds(1)), (None, 0, "n", seconds(1))],
+        [(None, None, None, seconds(4))],
+        [(2, 0, "b", seconds(4)), (None, None, None, seconds(1000))],
+    ]
+    for n in (2, 3):
+        found = []
+        for groups in (1, 8192):
+            folder = f"{tmp_path}/{n}-{groups}"
+            out = run_in_parts(spark, folder, ATTEMPTS, parts[:n], lambda s: report_streams.retry_timers(s, event_clock=True, groups=groups), f"{folder}/out")
+            found.append(rows(out, "transaction_id", "outcome", "retry_count", "at", "error"))
+        assert found[0] == found[1] and len(found[0]) >= n - 1
