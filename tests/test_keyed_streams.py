@@ -320,3 +320,18 @@ def test_requests_of_one_group_come_when_due(spark, tmp_path):
             out = run_in_parts(spark, folder, ATTEMPTS, parts[:n], lambda s: report_streams.retry_timers(s, event_clock=True, groups=groups), f"{folder}/out")
             found.append(rows(out, "transaction_id", "outcome", "retry_count", "at", "error"))
         assert found[0] == found[1] and len(found[0]) >= n - 1
+
+
+def test_alerts_of_one_group_keep_their_own_status(spark, tmp_path):
+    draw = random.Random(4)
+    table = spark.createDataFrame(
+        [(f"a{i}", i, draw.choice(["open", "reviewed"]), None, None) for i in range(9)],
+        "alert_id string, transaction_id long, status string, reviewed_by string, reviewed_at timestamp_ntz",
+    )
+    actions = [(f"x{n}", f"a{draw.randrange(9)}", draw.choice(["review", "false_positive", "revert"]), "y", None, seconds(60 * n)) for n in range(90)]
+    parts = [actions[:45], actions[40:], [(None, None, None, None, None, seconds(9000))]]  # some come twice
+    want = alert_ops.action_transitions(table, spark.createDataFrame(actions, ACTIONS))
+    build = lambda s: alert_streams.alert_transitions(s, table, late="10 minutes", groups=1)
+    out = run_in_parts(spark, f"{tmp_path}/m", ACTIONS, parts, build, f"{tmp_path}/out")
+    columns = ("action_id", "alert_id", "transaction_id", "previous_status", "new_status")
+    assert rows(out, *columns) == rows(want, *columns)
