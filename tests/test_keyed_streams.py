@@ -335,3 +335,10 @@ def test_alerts_of_one_group_keep_their_own_status(spark, tmp_path):
     out = run_in_parts(spark, f"{tmp_path}/m", ACTIONS, parts, build, f"{tmp_path}/out")
     columns = ("action_id", "alert_id", "transaction_id", "previous_status", "new_status")
     assert rows(out, *columns) == rows(want, *columns)
+
+
+def test_users_of_one_group_are_counted_apart(spark, tmp_path):
+    draw = random.Random(5)
+    parts = [[(100 * p + i, draw.choice(["a", "b", "c", None]), seconds(2000 * p + 20 * i), None) for i in range(100)] for p in range(2)]
+    out = run_in_parts(spark, tmp_path, TIMES, parts, lambda s: keyed_velocity(s, {"n": 300}, late=10, groups=1), f"{tmp_path}/out")
+    assert {r["id"]: (r["n"],) for r in out.collect()} == counted(parts, (300,))
