@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ GAP, PIECE = re.compile(r"\W"), 1 << 18
 BATCH, POINTS, AT_ONCE = 1 << 18, 4096, 16
 STEP = np.uint64(0x9FB21C651E98DF25)  # odd, so that words or runs that differ in one place differ
 HOT = 1000
+LARGE, MAPS, SIDES = 64, 16, 512  # rows of a bucket above which its texts get a map of their runs, longs of a map, pairs read at once
+MAP = [f"map{i}" for i in range(MAPS)]
 FEW = 1_000_000  # numbers of texts that may be broadcast, eight bytes each
 
 
@@ -142,7 +144,7 @@ def overlap(a, b) -> float:
 
 def in_parts(batch: pa.RecordBatch):
     """Consecutive slices of at most BATCH characters of text, a longer text alone."""
-    sizes = np.cumsum([len(t or "") for t in batch.column("text").to_pylist()])
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BATCH, "right")))
@@ -204,27 +206,72 @@ def differing(a: Column, b: Column, longs: int) -> Column:
     return total
 
 
+def of_reps(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """``texts`` of the distinct ``named`` reps, or all, if more than FEW are named: what is broadcast is bounded."""
+    if named.limit(FEW + 1).count() > FEW:
+        return texts
+    return texts.join(F.broadcast(named), "rep", "left_semi")
+
+
+def maps_of(texts: DataFrame) -> DataFrame:
+    """(rep, map0, map1, ...): per text the bits, of 64 a long, on which its different runs fall by their hash."""
+
+    def run(batches):
+        for batch in batches:
+            for part in in_parts(batch):
+                bits = np.zeros((part.num_rows, MAPS * 64), np.uint8)
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    bits[i, (bag(text)[0] % np.uint64(MAPS * 64)).astype(np.int64)] = 1
+                longs = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), *[pa.array(longs[:, i]) for i in range(MAPS)]], names=["rep", *MAP])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, " + ", ".join(f"{name} long" for name in MAP))
+
+
+def with_maps(rows: DataFrame, maps: DataFrame | None) -> DataFrame:
+    """``rows`` with the maps of their texts where their bucket is large, and empty ones elsewhere, which tell nothing."""
+    if maps is None:
+        return rows.select("*", *[F.lit(0).cast("long").alias(name) for name in MAP])
+    mapped = rows.where(F.col("n") > LARGE).join(maps, "rep")
+    return mapped.unionByName(with_maps(rows.where(F.col("n") <= LARGE), None))
+
+
+def in_reach(similarity: float) -> Column:
+    """Whether two texts can be so similar by their maps: each bit of one alone stands for a run that the other has not.
+
+    Common runs number at most a text's total less its bits alone, so no similar pair is left out. Maps of texts with
+    several times more runs than bits are full and leave out none.
+    """
+
+    def alone(one: str, other: str) -> Column:
+        return functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(one + name).bitwiseAND(F.bitwise_not(F.col(other + name)))) for name in MAP])
+
+    common = F.least(F.col("total") - alone("", "pivot_"), F.col("pivot_total") - alone("pivot_", ""))
+    return common >= F.lit(similarity) * (F.col("total") + F.col("pivot_total") - common) - 1e-6
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose bags overlap by ``similarity`` or more, read from the whole texts.
 
     If at most FEW texts are in pairs, which is counted, only theirs are shuffled; beyond that, all are.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    if named.limit(FEW + 1).count() <= FEW:
-        texts = texts.join(F.broadcast(named), "rep", "left_semi")
+    named = pairs.select(F.col("a").alias("rep")).distinct().union(pairs.select("b").distinct()).distinct()
+    texts = of_reps(texts, named)
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
 
     def run(batches):
+        seen: dict[int, tuple] = {}  # pairs of one pivot mostly lie together
         for batch in batches:
-            seen: dict[int, tuple] = {}  # pairs of one pivot mostly lie together
             keep = []
-            rows = zip(batch.column("a").to_pylist(), batch.column("left").to_pylist(), batch.column("right").to_pylist())
-            for i, (a, x, y) in enumerate(rows):
-                if a not in seen:
-                    seen = {a: bag(x)}
-                if overlap(seen[a], bag(y)) >= similarity:
-                    keep.append(i)
+            for start in range(0, batch.num_rows, SIDES):
+                some = batch.slice(start, SIDES)
+                rows = zip(some.column("a").to_pylist(), some.column("left").to_pylist(), some.column("right").to_pylist())
+                for i, (a, x, y) in enumerate(rows, start):
+                    if a not in seen:
+                        seen = {a: bag(x)}
+                    if overlap(seen[a], bag(y)) >= similarity:
+                        keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -264,7 +311,7 @@ def unsettled(rows: DataFrame, roots: DataFrame | None, limit: float) -> DataFra
 
 
 def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: int) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes and sketches allow ``similarity``.
+    """(a, b), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes, sketches and maps allow ``similarity``.
 
     Two texts of the bucket's commonest root are never put side by side. Each side is cut into blocks, so that
     a large bucket goes to many tasks.
@@ -280,12 +327,12 @@ def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: in
 
     pivots = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
     pivots = pivots.withColumn("part", block(parts)).withColumn("slice", each(slices))
-    own = [F.col(c).alias(f"pivot_{c}") for c in ("rep", "total", "root", "common", "sketch")]
+    own = [F.col(c).alias(f"pivot_{c}") for c in ("rep", "total", "root", "common", "sketch", *MAP)]
     pivots = pivots.select("band", "part", "slice", *own)
     members = rows.withColumn("slice", block(slices)).withColumn("part", each(parts)).drop("n", "turn")
     close = F.least("total", "pivot_total") >= F.lit(similarity) * F.greatest("total", "pivot_total")
     alike = differing(F.col("sketch"), F.col("pivot_sketch"), -(-size // 8)) <= most_differing(size, similarity)
-    differ = (F.col("root") != F.col("pivot_root")) & close & alike
+    differ = (F.col("root") != F.col("pivot_root")) & close & in_reach(similarity) & alike
     key = ["band", "part", "slice"]
     # Blocks are bounded in rows, and comparing them costs more than their bytes tell: tasks are not merged by size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -310,8 +357,8 @@ def assigned(
     Equal texts (by their words in order) are one text, with a number of its own as ``rep``, so that texts which share
     an id stay apart. In a bucket of a band every text is compared with the bucket's least rep, then with four, sixteen,
     ... more of its texts, placed or not. A pair is left out only once both texts have the same root, or if more bytes of
-    their signatures differ than those of similar texts do but for one pair in 1 / MISSED; a bucket is
-    done when all have one root or every pair has had its turn. n_links counts the links so found, not all pairs of a class.
+    their signatures differ than those of similar texts do but for one pair in 1 / MISSED, or if the
+    maps of their runs prove them too far apart; a bucket is done when all have one root or every pair has had its turn. n_links counts the links so found, not all pairs of a class.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     keyed = source.select("doc_id", F.sha2("text", 256).alias("digest"))
@@ -335,19 +382,24 @@ def grouped(source: DataFrame, keyed: DataFrame, similarity: float, bands: int,
     # The least rep of a bucket is its first pivot, the others take their turn by a draw between 0 and the bucket's size.
     turn = F.when(F.col("rep") == F.col("least"), -1.0).otherwise(F.pmod(F.xxhash64("rep"), F.lit(1 << 31)) / float(1 << 31) * F.col("n"))
     rows = settle(in_buckets(rows, settle(shared), limit).select("band", "rep", "n", turn.alias("turn")))
-    links = roots = tried = None
+    links = roots = tried = maps = None
     low, high = -1, 0
     while True:
         open_rows = settle(unsettled(rows, roots, limit).join(marks.select("rep", "total", "sketch"), "rep"))
         if not open_rows.limit(1).count():
             break
+        if low >= 0 and maps is None:  # later rounds have no other texts
+            large = open_rows.where(F.col("n") > LARGE).select("rep").distinct()
+            maps = settle(maps_of(of_reps(texts, large)))
+        open_rows = with_maps(open_rows, maps)
         pairs = settle(candidates(open_rows, low, high, similarity, bands * depth))
         if tried is not None:
             pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        found = settle(verified(pairs, texts, similarity))
-        links = found if links is None else settle(links.union(found))
-        roots = components(links, settle)
+        if pairs.limit(1).count():
+            found = settle(verified(pairs, texts, similarity))
+            links = found if links is None else settle(links.union(found))
+            roots = components(links, settle)
         # A bucket all of whose texts have been pivots is done; rows of one root alone are never compared.
         rows = open_rows.where(F.col("n") > high).select("band", "rep", "n", "turn")
         low, high = high, max(4, 4 * high)
