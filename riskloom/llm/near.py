@@ -197,12 +197,11 @@ def most_differing(size: int, similarity: float) -> int:
 
 def differing(a: Column, b: Column, longs: int) -> Column:
     """Bytes in which two sketches differ."""
-    total = F.lit(0)
+    total, every_other = F.lit(0), F.lit(0x00FF00FF00FF00FF)
     for i in range(longs):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        for lane in (x, F.shiftrightunsigned(x, 8)):  # a byte that is not 0 carries into the empty one above it
+            total = total + F.bit_count((lane.bitwiseAND(every_other) + every_other).bitwiseAND(F.lit(0x0100010001000100)))
     return total
 
 
@@ -232,7 +231,7 @@ def with_maps(rows: DataFrame, maps: DataFrame | None) -> DataFrame:
     """``rows`` with the maps of their texts where their bucket is large, and empty ones elsewhere, which tell nothing."""
     if maps is None:
         return rows.select("*", *[F.lit(0).cast("long").alias(name) for name in MAP])
-    mapped = rows.where(F.col("n") > LARGE).join(maps, "rep")
+    mapped = rows.where(F.col("n") > LARGE).join(merged(maps), "rep")
     return mapped.unionByName(with_maps(rows.where(F.col("n") <= LARGE), None))
 
 
@@ -251,7 +250,7 @@ def in_reach(similarity: float) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose bags overlap by ``similarity`` or more, read from the whole texts.
+    """Those of ``pairs`` (a, b, ...) whose bags overlap by ``similarity`` or more, read from the whole texts.
 
     If at most FEW texts are in pairs, which is counted, only theirs are shuffled; beyond that, all are.
     """
@@ -272,38 +271,53 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                         seen = {a: bag(x)}
                     if overlap(seen[a], bag(y)) >= similarity:
                         keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(kept).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    kept, schema = pairs.columns, pairs.schema
+    return pairs.join(merged(right), "b").join(merged(left), "a").select(*kept, "left", "right").mapInArrow(run, schema)
+
+
+def merged(frame: DataFrame) -> DataFrame:
+    """``frame`` to be joined by sorting, of whatever size: every small table that Spark would broadcast instead takes the
+    driver a thread and at least a megabyte, kept until its garbage is collected, and the rounds have dozens of joins."""
+    return frame.hint("merge")
 
 
 def components(links: DataFrame, settle=settle) -> DataFrame:
     """(rep, root): the least rep joined to each by ``links`` (a, b); label hopping with a table per round."""
-    both = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
+    both = settle(links.select(ends.alias("end")).select("end.a", "end.b").distinct())  # each is its own neighbour, too
+    labels = settle(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("root")))
     while True:
-        near = both.join(labels, both["b"] == labels["rep"]).groupBy("a").agg(F.min("root").alias("low"))
-        hop = labels.select(F.col("rep").alias("root"), F.col("root").alias("far"))
-        moved = labels.join(near, labels["rep"] == near["a"]).join(hop, "root")
-        moved = settle(moved.select("rep", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("moved")))
+        near = both.join(merged(labels), both["b"] == labels["rep"]).groupBy("a")
+        near = near.agg(F.min("root").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("own"))
+        hop = labels.select(F.col("rep").alias("low"), F.col("root").alias("far"))
+        moved = settle(near.join(merged(hop), "low").select(F.col("a").alias("rep"), F.col("far").alias("root"), (F.col("far") < F.col("own")).alias("moved")))
         labels = moved.select("rep", "root")
-        if not moved.where("moved").limit(1).count():
+        if moved.where("moved").isEmpty():
             return labels
 
 
+def joined(roots: DataFrame | None, met: DataFrame) -> DataFrame:
+    """(rep, root) after the roots named by ``met`` (rep, root) have met: only links between roots are followed in a round."""
+    if roots is None:
+        return met
+    further = met.select(F.col("rep").alias("root"), F.col("root").alias("far"))
+    return roots.join(merged(further), "root", "left").select("rep", F.coalesce("far", "root").alias("root")).union(met).distinct()
+
+
 def in_buckets(rows: DataFrame, buckets: DataFrame, limit: float) -> DataFrame:
     """``rows`` with what ``buckets`` (band, n, ...) says of their band; those of over ``limit`` rows, fewer than HOT, are broadcast."""
     hot = buckets.where(F.col("n") > limit)
-    cold = rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(buckets.where(F.col("n") <= limit), "band")
+    cold = rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(merged(buckets.where(F.col("n") <= limit)), "band")
     return rows.join(F.broadcast(hot), "band").unionByName(cold)
 
 
 def unsettled(rows: DataFrame, roots: DataFrame | None, limit: float) -> DataFrame:
     """``rows`` of the buckets that still hold several roots, with each row's root and whether it is the bucket's commonest."""
-    if roots is None:
-        named = rows.withColumn("root", F.col("rep"))
-    else:
-        named = rows.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    if roots is None:  # every text is its own root, and the last counts as the commonest
+        return rows.withColumn("root", F.col("rep")).withColumn("common", F.col("rep") == F.col("last")).drop("last")
+    named = rows.join(merged(roots), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     per = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("n")).groupBy("band")
     mixed_ = per.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots"), F.max("n").alias("n"))
     found = in_buckets(named.drop("n"), mixed_.where("n_roots > 1"), limit)
@@ -311,7 +325,7 @@ def unsettled(rows: DataFrame, roots: DataFrame | None, limit: float) -> DataFra
 
 
 def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: int) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes, sketches and maps allow ``similarity``.
+    """(a, b, low_root, high_root), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes, sketches and maps allow ``similarity``.
 
     Two texts of the bucket's commonest root are never put side by side. Each side is cut into blocks, so that
     a large bucket goes to many tasks.
@@ -327,19 +341,21 @@ def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: in
 
     pivots = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
     pivots = pivots.withColumn("part", block(parts)).withColumn("slice", each(slices))
-    own = [F.col(c).alias(f"pivot_{c}") for c in ("rep", "total", "root", "common", "sketch", *MAP)]
-    pivots = pivots.select("band", "part", "slice", *own)
+    # Texts of the commonest root lie apart from the others, and only pivots of another root go there, too.
+    sides = F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    own = [F.col(c).alias(f"pivot_{c}") for c in ("rep", "total", "root", "sketch", *MAP)]
+    pivots = pivots.select("band", "part", "slice", *own, F.explode(sides).alias("common"))
     members = rows.withColumn("slice", block(slices)).withColumn("part", each(parts)).drop("n", "turn")
     close = F.least("total", "pivot_total") >= F.lit(similarity) * F.greatest("total", "pivot_total")
     alike = differing(F.col("sketch"), F.col("pivot_sketch"), -(-size // 8)) <= most_differing(size, similarity)
     differ = (F.col("root") != F.col("pivot_root")) & close & in_reach(similarity) & alike
-    key = ["band", "part", "slice"]
+    key = ["band", "part", "slice", "common"]
     # Blocks are bounded in rows, and comparing them costs more than their bytes tell: tasks are not merged by size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members, pivots = members.repartition(tasks, *key), pivots.repartition(tasks, *key)
-    met = members.where("NOT common").join(pivots, key).where(differ)
-    met = met.unionByName(members.where("common").join(pivots.where("NOT pivot_common"), key).where(differ))
-    return met.select(F.least("rep", "pivot_rep").alias("a"), F.greatest("rep", "pivot_rep").alias("b")).distinct()
+    met = members.join(pivots, key).where(differ)
+    met = met.select(*[f(x, f"pivot_{x}").alias(name) for x, f, name in (("rep", F.least, "a"), ("rep", F.greatest, "b"), ("root", F.least, "low_root"), ("root", F.greatest, "high_root"))])
+    return met.groupBy("a", "b").agg(F.first("low_root").alias("low_root"), F.first("high_root").alias("high_root"))
 
 
 def classes(
@@ -377,40 +393,41 @@ def grouped(source: DataFrame, keyed: DataFrame, similarity: float, bands: int,
     texts = settle(texts.dropDuplicates(["doc_id", "digest"]).select("rep", "text"))
     marks = settle(signed(texts, bands, depth))
     rows = marks.select("rep", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("n > 1")
     limit = marks.count() * bands / HOT  # fewer than HOT buckets are larger
     # The least rep of a bucket is its first pivot, the others take their turn by a draw between 0 and the bucket's size.
     turn = F.when(F.col("rep") == F.col("least"), -1.0).otherwise(F.pmod(F.xxhash64("rep"), F.lit(1 << 31)) / float(1 << 31) * F.col("n"))
-    rows = settle(in_buckets(rows, settle(shared), limit).select("band", "rep", "n", turn.alias("turn")))
+    rows = settle(in_buckets(rows, settle(shared), limit).select("band", "rep", "n", turn.alias("turn"), "last"))
     links = roots = tried = maps = None
     low, high = -1, 0
     while True:
-        open_rows = settle(unsettled(rows, roots, limit).join(marks.select("rep", "total", "sketch"), "rep"))
-        if not open_rows.limit(1).count():
+        open_rows = settle(unsettled(rows, roots, limit).join(merged(marks.select("rep", "total", "sketch")), "rep"))
+        if open_rows.isEmpty():
             break
         if low >= 0 and maps is None:  # later rounds have no other texts
             large = open_rows.where(F.col("n") > LARGE).select("rep").distinct()
             maps = settle(maps_of(of_reps(texts, large)))
         open_rows = with_maps(open_rows, maps)
-        pairs = settle(candidates(open_rows, low, high, similarity, bands * depth))
-        if tried is not None:
-            pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        if pairs.limit(1).count():
+        pairs = candidates(open_rows, low, high, similarity, bands * depth)
+        pairs = settle(pairs if tried is None else pairs.join(merged(tried), ["a", "b"], "left_anti"))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        if not pairs.isEmpty():
             found = settle(verified(pairs, texts, similarity))
-            links = found if links is None else settle(links.union(found))
-            roots = components(links, settle)
+            links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
+            if not found.isEmpty():
+                met = components(found.select(F.col("low_root").alias("a"), F.col("high_root").alias("b")), settle)
+                roots = met if roots is None else settle(joined(roots, met))
         # A bucket all of whose texts have been pivots is done; rows of one root alone are never compared.
         rows = open_rows.where(F.col("n") > high).select("band", "rep", "n", "turn")
         low, high = high, max(4, 4 * high)
-    if links is None:
+    if roots is None:
         links = rows.sparkSession.createDataFrame([], "a long, b long")
         roots = rows.sparkSession.createDataFrame([], "rep long, root long")
     links = links.distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = reps.join(roots, "rep", "left").join(degree, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = reps.join(merged(roots), "rep", "left").join(merged(degree), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     first = known.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
-    return known.join(first, "root").select(
+    return known.join(merged(first), "root").select(
         "digest",
         F.col("first.doc_id").alias("class_id"),
         F.col("first.digest").alias("class_digest"),

@@ -134,3 +134,43 @@ def test_stages_of_odd_rows_and_clashing_names(spark, name, stage):
             assert [i for i, *_ in ids].count(4) >= 1 and {2, 3} <= {i for i, *_ in ids}
         elif name == "secrets":
             assert len(ids) == len(rows)
+
+
+def test_rounds_of_near_copies_take_the_driver_few_broadcasts(spark, monkeypatch):
+    """Roots of several rounds, met step by step, are those of brute force; tables that the rounds join are sorted, not broadcast one by one."""
+    draw, texts = random.Random(5), []
+    for _ in range(6):  # chains, so that roots meet in later rounds too
+        words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            words[draw.randrange(120)] = f"v{draw.randrange(10**6)}"
+    bags, root = [near.bag(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near.overlap(bags[i], bags[j]) >= near.SIMILARITY:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    plans, settled = [], near.Scratch.settle
+
+    def kept(self, frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return settled(self, frame)
+
+    monkeypatch.setattr(near.Scratch, "settle", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near.classes(docs).collect()}
+    assert got == dict(enumerate(root))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert len(joins) > 20 and sum("strategy=merge" in line for line in joins) > len(joins) / 2
+
+
+def test_components_of_links_given_in_any_order(spark):
+    draw = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 40)] + [(100 + draw.randrange(60), 100 + draw.randrange(60)) for _ in range(45)] + [(7, 7), (300, 299)]
+    root = {x: x for link in links for x in link}
+    for a, b in links:
+        root = {x: min(root[a], root[b]) if r in (root[a], root[b]) else r for x, r in root.items()}
+    frame = spark.createDataFrame(draw.sample(links, len(links)), "a long, b long")
+    assert {r["rep"]: r["root"] for r in near.components(frame).collect()} == root
+    met = near.joined(near.components(frame), spark.createDataFrame([(0, 0), (299, 0), (500, 500), (501, 500)], "rep long, root long"))
+    want = {**{x: 0 if r == 299 else r for x, r in root.items()}, 500: 500, 501: 500}
+    assert {r["rep"]: r["root"] for r in met.collect()} == want
