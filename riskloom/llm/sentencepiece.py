@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
+#: A word with the markers before it; no merge crosses from one to the next unless a piece has a marker behind another character.
+WORD, ACROSS = re.compile(f"{MARK}+[^{MARK}]*"), re.compile(f"[^{MARK}]{MARK}")
+KNOWN, LONGEST = 400_000, 64  # words whose ids are kept, and their characters at most
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -105,7 +109,7 @@ def build_tokenizer(model: dict):
     steps += [normalizers.Prepend(MARK)] if model["prefix"] else []
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    back = [decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model["prefix"] else []))
     own = [AddedToken(t, normalized=False) for t, _, k in pieces if k == USER]
     if own:
@@ -120,10 +124,46 @@ def hold_threads() -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(task.cpus()))
 
 
+class Encoder:
+    """A model as a tokenizer that encodes each distinct word once.
+
+    That holds for BPE models that only mark spaces, with one before the text, and have neither pieces across words nor
+    pieces of the user's own. For others whole texts are encoded.
+    """
+
+    def __init__(self, model: dict):
+        from tokenizers import normalizers
+
+        hold_threads()
+        self.tokenizer, self.known, self.bare = build_tokenizer(model), {}, None
+        apart = not any(ACROSS.search(text) or kind == USER for text, _, kind in model["pieces"])
+        marked = any(text == MARK and kind == NORMAL for text, _, kind in model["pieces"])
+        if apart and marked and model["prefix"] and not (model["unigram"] or model["squeeze"] or model["charsmap"]):
+            self.bare = build_tokenizer(model)
+            self.bare.normalizer = normalizers.Sequence([])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.bare is None:
+            return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [WORD.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
+        distinct = set().union(*cut)
+        fresh = [word for word in distinct if word not in self.known]
+        if len(self.known) + len(fresh) > KNOWN:
+            self.known.clear()
+            fresh = list(distinct)
+        ids = [np.array(e.ids, "<i4").tobytes() for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.known.update(zip(fresh, ids))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in cut]
+        for word in fresh:  # a word without end, as of a script without spaces, is not kept
+            if len(word) > LONGEST:
+                del self.known[word]
+        return out
+
+
 @functools.lru_cache(maxsize=4)
-def _loaded(data: bytes):
-    hold_threads()
-    return build_tokenizer(parse_model(data))
+def _loaded(data: bytes) -> Encoder:
+    return Encoder(parse_model(data))
 
 
 @functools.lru_cache(maxsize=4)
@@ -146,19 +186,25 @@ def _batches(texts: list[str], limit: int = 1 << 20):
         yield run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id", check: bool = True) -> DataFrame:
     """One row per document: its ids, the text decoded from them and, with ``check``, parity with the model's own library."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
-        tokenizer = _loaded(model)
+        encoder = _loaded(model)
         for batch in batches:
             texts, keys, at = batch.column("text").to_pylist(), batch.column("doc_id"), 0
             for part in _batches(texts):
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                found = encoder.encode(part)
+                ids = [x.tolist() for x in found]
+                decoded = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
                 same = [a == b for a, b in zip(ids, _peer(model).encode(part, num_threads=1))] if check else [None] * len(part)
-                columns = [keys.slice(at, len(part)), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+                columns = [keys.slice(at, len(part)), _lists(found), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "parity"])
 
@@ -172,7 +218,7 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", key: str = "doc_id
     def run(batches):
         for batch in batches:
             lists = [[i for i in x or [] if i is not None] for x in batch.column("ids").to_pylist()]
-            texts = pa.array(_loaded(model).decode_batch(lists, skip_special_tokens=False), pa.string())
+            texts = pa.array(_loaded(model).tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], names=["doc_id", "text"])
 
     return source.mapInArrow(run, "doc_id long, text string")
