@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from riskloom.session import Scratch, settle
 
 WORDS, SIMILARITY, BANDS, DEPTH = 5, 0.8, 25, 5
-PIVOTS, MEMBERS = 256, 4096
+PIVOTS, MEMBERS = 2048, 2048
 MISSED = 1e-6
 GAP, PIECE = re.compile(r"\W"), 1 << 18
 BATCH, POINTS, AT_ONCE = 1 << 18, 4096, 16
 STEP = np.uint64(0x9FB21C651E98DF25)  # odd, so that words or runs that differ in one place differ
 HOT = 1000
 LARGE, MAPS, SIDES = 64, 16, 512  # rows of a bucket above which its texts get a map of their runs, longs of a map, pairs read at once
+BLOCKED, CELLS = 256, 1 << 18  # rows of a bucket above which it is compared block by block, pairs compared at once
 MAP = [f"map{i}" for i in range(MAPS)]
 FEW = 1_000_000  # numbers of texts that may be broadcast, eight bytes each
 
@@ -324,14 +325,59 @@ def unsettled(rows: DataFrame, roots: DataFrame | None, limit: float) -> DataFra
     return found.select("band", "rep", "n", "turn", "root", (F.col("root") == F.col("main")).alias("common"))
 
 
+def in_blocks(members: DataFrame, pivots: DataFrame, key: list[str], similarity: float, size: int) -> DataFrame:
+    """(a, b, low_root, high_root): what ``candidates`` asks of a pair, for whole blocks of members and pivots at once, CELLS pairs at a time."""
+    most = most_differing(size, similarity)
+
+    def of(table: pa.Table, before: str = ""):
+        reps, totals, roots = (table[before + c].to_numpy() for c in ("rep", "total", "root"))
+        sketches = np.array(table[before + "sketch"].to_pylist(), np.int64).view(np.uint8)
+        return reps, totals, roots, sketches, np.stack([table[before + name].to_numpy() for name in MAP], axis=1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            (reps, totals, roots, sketches, maps), (p_reps, p_totals, p_roots, p_sketches, p_maps) = of(left), of(right, "pivot_")
+            slots = np.ascontiguousarray(sketches.T[:size])
+            step = max(1, CELLS // len(reps))
+            for at in range(0, len(p_reps), step):
+                some = slice(at, at + step)
+                total = p_totals[some, None]
+                apart = np.zeros((len(total), len(reps)), np.int16)
+                for slot, mine in zip(slots, p_sketches[some].T):
+                    apart += slot != mine[:, None]
+                open_ = (p_roots[some, None] != roots) & (np.minimum(total, totals) >= similarity * np.maximum(total, totals)) & (apart <= most)
+                i, j = np.nonzero(open_)
+                i += at
+                for cut in range(0, len(i), CELLS // MAPS):
+                    x, y = i[cut : cut + CELLS // MAPS], j[cut : cut + CELLS // MAPS]
+                    alone, other = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in bits_alone(maps[y], p_maps[x]))
+                    common = np.minimum(totals[y] - alone, p_totals[x] - other)
+                    reach = common >= similarity * (totals[y] + p_totals[x] - common) - 1e-6
+                    x, y = x[reach], y[reach]
+                    ends = [f(u[y], v[x]) for u, v in ((reps, p_reps), (roots, p_roots)) for f in (np.minimum, np.maximum)]
+                    found.append(np.stack(ends))
+        flat = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        return pa.table(list(map(pa.array, flat)), names=["a", "b", "low_root", "high_root"])
+
+    keys = [F.col(c).alias(f"pivot_{c}") for c in key]  # both sides come from the same rows, and names must tell them apart
+    pivots = pivots.select(*keys, *[c for c in pivots.columns if c not in key])
+    blocks = pivots.groupBy(*[f"pivot_{c}" for c in key])
+    return members.groupBy(*key).cogroup(blocks).applyInArrow(run, "a long, b long, low_root long, high_root long")
+
+
+def bits_alone(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of each row of ``a`` that ``b`` has not, and the other way round, as unsigned longs."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    return a & ~b, b & ~a
+
+
 def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: int) -> DataFrame:
     """(a, b, low_root, high_root), a < b: pairs of a bucket's pivots of this round, by turn, with all its texts of another root, if their sizes, sketches and maps allow ``similarity``.
 
-    Two texts of the bucket's commonest root are never put side by side. Each side is cut into blocks, so that
-    a large bucket goes to many tasks.
+    Two texts of the bucket's commonest root are never put side by side. A bucket of over BLOCKED rows is compared in
+    arrays, each side cut into blocks, so that it goes to many tasks.
     """
-    parts = F.ceil(F.least(F.lit(high + 1), F.col("n")) / PIVOTS).cast("int")
-    slices = F.ceil(F.col("n") / MEMBERS).cast("int")
 
     def block(count):
         return F.pmod(F.xxhash64("rep"), count).cast("int")
@@ -339,22 +385,29 @@ def candidates(rows: DataFrame, low: int, high: int, similarity: float, size: in
     def each(count):
         return F.explode(F.sequence(F.lit(0), count - 1))
 
-    pivots = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
-    pivots = pivots.withColumn("part", block(parts)).withColumn("slice", each(slices))
     # Texts of the commonest root lie apart from the others, and only pivots of another root go there, too.
     sides = F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     own = [F.col(c).alias(f"pivot_{c}") for c in ("rep", "total", "root", "sketch", *MAP)]
-    pivots = pivots.select("band", "part", "slice", *own, F.explode(sides).alias("common"))
-    members = rows.withColumn("slice", block(slices)).withColumn("part", each(parts)).drop("n", "turn")
+    turn = (F.col("turn") >= low) & (F.col("turn") < high)
+    # Comparing rows costs more than their bytes tell: tasks are not merged by size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    few, key = rows.where(F.col("n") <= BLOCKED), ["band", "common"]
+    pivots = few.where(turn).select("band", *own, F.explode(sides).alias("common")).repartition(tasks, *key)
+    members = few.drop("n", "turn").repartition(tasks, *key)
     close = F.least("total", "pivot_total") >= F.lit(similarity) * F.greatest("total", "pivot_total")
     alike = differing(F.col("sketch"), F.col("pivot_sketch"), -(-size // 8)) <= most_differing(size, similarity)
     differ = (F.col("root") != F.col("pivot_root")) & close & in_reach(similarity) & alike
-    key = ["band", "part", "slice", "common"]
-    # Blocks are bounded in rows, and comparing them costs more than their bytes tell: tasks are not merged by size.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members, pivots = members.repartition(tasks, *key), pivots.repartition(tasks, *key)
     met = members.join(pivots, key).where(differ)
     met = met.select(*[f(x, f"pivot_{x}").alias(name) for x, f, name in (("rep", F.least, "a"), ("rep", F.greatest, "b"), ("root", F.least, "low_root"), ("root", F.greatest, "high_root"))])
+
+    many, key = rows.where(F.col("n") > BLOCKED), ["band", "part", "slice", "common"]
+    parts = F.ceil(F.least(F.lit(high + 1), F.col("n")) / PIVOTS).cast("int")
+    slices = F.ceil(F.col("n") / MEMBERS).cast("int")
+    pivots = many.where(turn).withColumn("part", block(parts)).withColumn("slice", each(slices))
+    pivots = pivots.select("band", "part", "slice", *own, F.explode(sides).alias("common")).repartition(tasks, *key)
+    members = many.withColumn("slice", block(slices)).withColumn("part", each(parts)).drop("n", "turn").repartition(tasks, *key)
+    met = met.union(in_blocks(members, pivots, key, similarity, size))
     return met.groupBy("a", "b").agg(F.first("low_root").alias("low_root"), F.first("high_root").alias("high_root"))
 
 
@@ -371,7 +424,7 @@ def assigned(
     """(doc_id, digest, class_id, class_digest, n_links): the class of every row as its least id, and that id's least digest.
 
     Equal texts (by their words in order) are one text, with a number of its own as ``rep``, so that texts which share
-    an id stay apart. In a bucket of a band every text is compared with the bucket's least rep, then with four, sixteen,
+    an id stay apart. In a bucket of a band every text is compared with the bucket's least rep, then with four, 64,
     ... more of its texts, placed or not. A pair is left out only once both texts have the same root, or if more bytes of
     their signatures differ than those of similar texts do but for one pair in 1 / MISSED, or if the
     maps of their runs prove them too far apart; a bucket is done when all have one root or every pair has had its turn. n_links counts the links so found, not all pairs of a class.
@@ -419,7 +472,7 @@ def grouped(source: DataFrame, keyed: DataFrame, similarity: float, bands: int,
                 roots = met if roots is None else settle(joined(roots, met))
         # A bucket all of whose texts have been pivots is done; rows of one root alone are never compared.
         rows = open_rows.where(F.col("n") > high).select("band", "rep", "n", "turn")
-        low, high = high, max(4, 4 * high)
+        low, high = high, 4 * max(1, high) ** 2  # few rounds, as each costs dozens of stages whatever it reads
     if roots is None:
         links = rows.sparkSession.createDataFrame([], "a long, b long")
         roots = rows.sparkSession.createDataFrame([], "rep long, root long")

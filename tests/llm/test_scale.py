@@ -68,3 +68,29 @@ def test_queries_together_find_what_each_finds_alone(size):
         for i, (got, scores) in enumerate(found):
             want = sorted((-int(vectors[j] @ vectors[i]), int(ids[j])) for j in range(rows) if j != i)[:5]
             assert [(-int(s), int(g)) for g, s in zip(got, scores)] == want
+
+
+def test_blocks_in_arrays_find_what_rows_find(spark, monkeypatch):
+    """Buckets compared block by block give the pairs of the join, in few rounds, whatever the blocks' size."""
+    draw = random.Random(9)
+    texts = family(draw, 40) + ["no word of the others is in here", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rounds = []
+
+    def counted(rows, low, high, *rest, candidates=near.candidates):
+        pairs = candidates(rows, low, high, *rest)
+        rounds.append((low, high, {tuple(r) for r in pairs.select("a", "b").collect()}))
+        return pairs
+
+    monkeypatch.setattr(near, "candidates", counted)
+    monkeypatch.setattr(near, "LARGE", 8)
+    found = []
+    for blocked, side in ((1000, 2048), (1, 16)):
+        monkeypatch.setattr(near, "BLOCKED", blocked, raising=False)
+        monkeypatch.setattr(near, "PIVOTS", side)
+        monkeypatch.setattr(near, "MEMBERS", side)
+        rounds.clear()
+        found.append((near.classes(docs, bands=6, depth=2).collect(), list(rounds)))
+        assert len(rounds) <= 4
+    assert all(rounds == found[0][1] and sorted(rows) == sorted(found[0][0]) for rows, rounds in found)
+    assert any(pairs for *_, pairs in found[0][1][1:])
