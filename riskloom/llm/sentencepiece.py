@@ -14,15 +14,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.units import Units
+
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
-#: A word with the markers before it; no merge crosses from one to the next unless a piece has a marker behind another character.
-WORD, ACROSS = re.compile(f"{MARK}+[^{MARK}]*"), re.compile(f"[^{MARK}]{MARK}")
-KNOWN, LONGEST = 400_000, 64  # words whose ids are kept, and their characters at most
+#: No merge crosses from a word with the marker before it to the next unless a piece has a marker behind another character.
+ACROSS = re.compile(f"[^{MARK}]{MARK}")
+KNOWN, RUN = 400_000, 64  # words whose ids are kept, words encoded as one text
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -125,40 +128,64 @@ def hold_threads() -> None:
 
 
 class Encoder:
-    """A model as a tokenizer that encodes each distinct word once.
+    """A model as a tokenizer that encodes and decodes each distinct word once.
 
     That holds for BPE models that only mark spaces, with one before the text, and have neither pieces across words nor
-    pieces of the user's own. For others whole texts are encoded.
+    pieces of the user's own. For others, and for texts that are not ``plain``, whole texts are encoded and decoded.
     """
 
     def __init__(self, model: dict):
-        from tokenizers import normalizers
+        from tokenizers import decoders, normalizers
 
         hold_threads()
-        self.tokenizer, self.known, self.bare = build_tokenizer(model), {}, None
-        apart = not any(ACROSS.search(text) or kind == USER for text, _, kind in model["pieces"])
-        marked = any(text == MARK and kind == NORMAL for text, _, kind in model["pieces"])
+        self.tokenizer, self.bare = build_tokenizer(model), None
+        pieces = model["pieces"]
+        apart = not any(ACROSS.search(text) or kind == USER for text, _, kind in pieces)
+        marked = any(text == MARK and kind == NORMAL for text, _, kind in pieces)
         if apart and marked and model["prefix"] and not (model["unigram"] or model["squeeze"] or model["charsmap"]):
             self.bare = build_tokenizer(model)
             self.bare.normalizer = normalizers.Sequence([])
+            self.bare.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse()])
+            self.first = np.array([text.startswith(MARK) for text, _, _ in pieces])
+            self.units = Units(self._words, KNOWN, lambda ids: self.bare.decode_batch(ids, skip_special_tokens=False))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; a word's first piece, and no other, has the marker."""
+        marked = [MARK + word for word in words]
+        runs = [marked[at : at + RUN] for at in range(0, len(marked), RUN)]
+        ids, counts = [], []
+        for run, found in zip(runs, self.bare.encode_batch_fast(["".join(run) for run in runs], add_special_tokens=False)):
+            flat = np.array(found.ids, np.int64)
+            starts = np.flatnonzero(self.first[flat])
+            if len(starts) == len(run) and starts[0] == 0:
+                ids.append(flat)
+                counts.append(np.diff(starts, append=len(flat)))
+            else:
+                each = [np.array(e.ids, np.int64) for e in self.bare.encode_batch_fast(run, add_special_tokens=False)]
+                ids += each
+                counts.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def plain(self, text: str) -> bool:
+        """Whether every marker stands alone before a word: markers side by side merge with each other."""
+        return self.bare is not None and text != "" and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+
+    def run(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """The ids of each text, and the text decoded from them."""
+        plain = [self.plain(text) for text in texts]
+        ids, back = [], []
+        if any(plain):
+            ids, back = self.units.gather(pc.split_pattern(pa.array([t for t, is_plain in zip(texts, plain) if is_plain], pa.string()), " "))
+        some = zip(ids, [text.removeprefix(" ") for text in back])
+        rest = [t for t, is_plain in zip(texts, plain) if not is_plain]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        whole = zip([np.array(x, "<i4") for x in found], self.tokenizer.decode_batch(found, skip_special_tokens=False) if rest else [])
+        pairs = [next(some if is_plain else whole) for is_plain in plain]
+        return [x for x, _ in pairs], [text for _, text in pairs]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if self.bare is None:
-            return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [WORD.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
-        distinct = set().union(*cut)
-        fresh = [word for word in distinct if word not in self.known]
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-            fresh = list(distinct)
-        ids = [np.array(e.ids, "<i4").tobytes() for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
-        self.known.update(zip(fresh, ids))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in cut]
-        for word in fresh:  # a word without end, as of a script without spaces, is not kept
-            if len(word) > LONGEST:
-                del self.known[word]
-        return out
+        return self.run(texts)[0]
 
 
 @functools.lru_cache(maxsize=4)
@@ -200,10 +227,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id
         for batch in batches:
             texts, keys, at = batch.column("text").to_pylist(), batch.column("doc_id"), 0
             for part in _batches(texts):
-                found = encoder.encode(part)
-                ids = [x.tolist() for x in found]
-                decoded = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
-                same = [a == b for a, b in zip(ids, _peer(model).encode(part, num_threads=1))] if check else [None] * len(part)
+                found, decoded = encoder.run(part)
+                same = [a.tolist() == b for a, b in zip(found, _peer(model).encode(part, num_threads=1))] if check else [None] * len(part)
                 columns = [keys.slice(at, len(part)), _lists(found), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "parity"])
