@@ -143,12 +143,13 @@ def overlap(a, b) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def in_parts(batch: pa.RecordBatch):
-    """Consecutive slices of at most BATCH characters of text, a longer text alone."""
+def in_parts(batch: pa.RecordBatch, most: int | None = None):
+    """Consecutive slices of at most ``most`` (BATCH, if not given) characters of text, a longer text alone."""
+    most = most or BATCH
     sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BATCH, "right")))
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
         yield batch.slice(start, end - start)
         start = end
 

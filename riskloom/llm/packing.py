@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.near import in_parts
 from riskloom.llm.sentencepiece import hold_threads
 from riskloom.session import settle
 
@@ -27,7 +28,7 @@ CAPACITY, SHARD, LINEAR, QUADRATIC = 4096, 512, 1.0, 1 / 4096
 
 #: Characters on which the tokenizer's rules and Python's agree; texts with others are encoded whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f\u0400-\u045f]*")
-KNOWN, RUN = 400_000, 4096
+KNOWN, RUN, PART = 300_000, 4096, 1 << 20  # words whose ids are kept, words encoded as one text, characters of text taken at a time
 
 
 def plain_class(kind: str, top: int) -> str:
@@ -121,21 +122,13 @@ def token_rows(docs: DataFrame, path: str, end: int = 2, text: str = "text", key
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
-        for batch in batches:
-            keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):  # about a million characters at a time
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < 1 << 20):
-                    size += len(texts[upto])
-                    upto += 1
-                found = _encoder(path).encode(texts[at:upto])
-                n = np.array([len(ids) + 1 for ids in found], np.int64)
-                last = np.array([end], "<u4")
-                flat = np.concatenate([part for ids in found for part in (ids, last)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([keys.slice(at, upto - at), ids, pa.array(n)], names=["doc_id", "ids", "n"])
-                at = upto
+        encoder, last = _encoder(path), np.array([end], "<u4")
+        for part in (part for batch in batches for part in in_parts(batch, PART)):
+            found = encoder.encode(part.column("text").to_pylist())
+            n = np.array([len(ids) + 1 for ids in found], np.int64)
+            flat = np.concatenate([x for ids in found for x in (ids, last)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(n)], names=["doc_id", "ids", "n"])
 
     return settle(source.mapInArrow(run, "doc_id long, ids array<int>, n long").withColumn("uid", F.monotonically_increasing_id()))
 

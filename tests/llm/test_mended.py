@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, near, packing, topk
-from riskloom.llm.queries import WORDS, vocabulary
+from riskloom.llm import language, near, packing, sentencepiece, topk
+from riskloom.llm.queries import PIECES, WORDS, vocabulary
 
 
 def test_words_encoded_once_equal_whole_texts(folder):
@@ -34,6 +34,28 @@ def test_a_full_word_table_starts_anew(folder, monkeypatch):
         assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("most", [400_000, 3])
+def test_pieces_of_words_equal_those_of_whole_texts(folder, most):
+    """Ids and decoded texts of words, encoded and decoded once and forgotten now and then, as the tokenizer has them for whole texts."""
+    with open(vocabulary(PIECES), "rb") as file:
+        encoder = sentencepiece.Encoder(sentencepiece.parse_model(file.read()))
+    encoder.units.most = most
+    draw = random.Random(2)
+    kinds = ["a", "é", "你", "😀", " ", "  ", "\n", "▁", "<0x41>", "<s>", "\x00", "\ufffd", "\u200b", "the", "-"]
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet'").fetchall()]
+    texts += ["".join(draw.choice(kinds) for _ in range(draw.randrange(30))) for _ in range(2000)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 500):
+        ids, back = encoder.run(texts[at : at + 500])
+        assert [x.tolist() for x in ids] == want[at : at + 500]
+        assert back == encoder.tokenizer.decode_batch(want[at : at + 500], skip_special_tokens=False)
+    assert sum(map(encoder.plain, texts)) > len(texts) / 5
+    if most > 1000:  # a word met before is neither encoded nor decoded again
+        encoder.bare = None if not encoder.bare else type("Spent", (), {})()
+        plain = [t for t in texts if encoder.plain(t)]
+        assert len(encoder.run(plain)[0]) == len(plain)
+
+
 def test_language_does_not_learn_a_shared_head(spark):
     """Texts of two languages that all begin alike, for longer than a snippet, are told apart all the same."""
     draw, head = random.Random(2), "notice to all readers of this page " * 40
@@ -94,3 +116,11 @@ def test_parts_of_a_batch_hold_every_row_once():
     parts = [part.column("text").to_pylist() for part in near.in_parts(batch)]
     assert [t for part in parts for t in part] == texts
     assert all(len(part) == 1 or sum(len(t or "") for t in part) <= near.BATCH for part in parts)
+
+
+def test_parts_of_a_given_size_hold_every_row_once():
+    texts = ["ab", None, "c" * 9, "", "d", "ef", "g"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = [part.column("text").to_pylist() for part in near.in_parts(batch, 4)]
+    assert [t for part in parts for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 4 for part in parts) and len(parts) > 2
